@@ -25,6 +25,7 @@ BLOCK = 2_000_000
 
 def tuned(spark) -> None:
     """Smaller Arrow batches than the default of 10,000 rows, which whole documents would make too large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
