@@ -1,0 +1,188 @@
+"""Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
+
+A candidate is a token of a known form, the value of an assignment to a telling name, or
+a long mixed token. The forest sees its length, the changes of character class, the share
+of dictionary words in it, where it comes from (path-like words around it and in the
+source's name) and the neighbouring words. It is trained on the driver from labelled
+findings (by default a seeded set of made-up ones, a few thousand) and compiled into
+nested conditions, so that whole documents are scanned without leaving the JVM and
+without a shuffle.
+
+Defined results: a null or empty text has no finding and stays as it is; a secret that
+occurs several times is found each time; an empty table gives an empty result; columns
+other than those named are carried along by ``redacted`` and ignored otherwise; names
+starting with an underscore are reserved; whole texts are read.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Forms of keys that services document.
+KNOWN = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bgithub_pat_[A-Za-z0-9_]{22,}|\bglpat-[A-Za-z0-9_-]{20,}|\bxox[abeoprs]-[A-Za-z0-9-]{10,}"
+    r"|\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|\bsk-[A-Za-z0-9_-]{20,}|\bAIza[A-Za-z0-9_-]{35}|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|\bnpm_[A-Za-z0-9]{36}|\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+)
+_NAME = r"(?i:pass(?:wd|word|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
+_ASSIGN = r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?"
+ASSIGNED = _NAME + _ASSIGN + r"[^\s\"'<>,;]{6,}"
+MIXED = r"\b(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = f"{KNOWN}|{ASSIGNED}|{MIXED}"
+#: Words that real secrets hardly contain, and words around a candidate that speak for or against it.
+DICTIONARY = "your|my|key|secret|token|password|passwd|pass|example|sample|test|dummy|changeme|change|placeholder|here|insert|value|user|name|admin|default|none|null|true|false|the|and|for|with|config|env|process|get|string|variable|id|api|access|auth|version|file|path|http|https|www|com|html|xxxx|0000|1234|abcd"
+FOR = r"(?i)key|secret|token|passw|pwd|credential|auth|bearer|private|aws|login"
+AGAINST = r"(?i)example|sample|placeholder|dummy|fake|test|commit|sha-?\d|md5|checksum|hash|digest|uuid|guid|revision|blob|docs?/|fixture|integrity"
+FEATURES = ("length", "transitions", "dictionary", "digits", "upper", "distinct", "known", "assigned", "for", "against", "path", "hex")
+
+
+def _features(value: Column, whole: Column, before: Column, after: Column, source: Column) -> list[Column]:
+    n = F.length(value)
+    per = F.greatest(n, F.lit(1))
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"[a-z]+", "\x01"), r"[A-Z]+", "\x02"), r"[0-9]+", "\x03"), r"[^\x01-\x03]+", "\x04")
+    rest = F.regexp_replace(value, f"(?i){DICTIONARY}", "")
+    number = lambda c: c.cast("double")
+    near = F.concat(before, F.lit(" "), after)
+    return [
+        number(n), (F.length(kinds) - 1) / per, 1 - F.length(rest) / per,
+        F.length(F.regexp_replace(value, "[^0-9]", "")) / per, F.length(F.regexp_replace(value, "[^A-Z]", "")) / per,
+        F.size(F.array_distinct(F.split(value, ""))) / F.least(per, F.lit(40)),
+        number(value.rlike(f"^(?:{KNOWN})$")), number(whole.rlike(f"^{_NAME}{_ASSIGN}")),
+        number(near.rlike(FOR)), number(near.rlike(AGAINST)),
+        number(near.rlike(r"[\w.-]+/[\w.-]+/|\.(?:env|ya?ml|json|pem|conf|ini|properties)\b") | F.coalesce(source, F.lit("")).rlike(AGAINST)),
+        number(value.rlike(r"^[0-9a-f]+$")),
+    ]
+
+
+def made_up_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled findings as features and labels (1: a secret), made from a seed."""
+    rng = np.random.default_rng(seed)
+    x, y = [], []
+    for _ in range(n):
+        real = rng.random() < 0.5
+        if real:
+            form = rng.integers(0, 5)
+            length = int((20, 40, rng.integers(10, 24), rng.integers(24, 64), 40)[form])
+            known, assigned = float(form == 0), float(form in (1, 2, 3) and rng.random() < 0.9)
+            digits = (0.3, 0.62, 0.25, 0.18, 0.2)[form] + rng.normal(0, 0.05)
+            upper = (0.7, 0, 0.3, 0.4, 0.4)[form] + (rng.normal(0, 0.05) if form != 1 else 0)
+            row = [length, np.clip(rng.normal(0.55, 0.1), 0.15, 1), np.clip(rng.normal(0.02, 0.03), 0, 1), digits, upper, np.clip((16 if form == 1 else 0.75 * min(length, 40)) / min(length, 40), 0, 1),
+                   known, assigned, float(rng.random() < 0.7), float(rng.random() < 0.05), float(rng.random() < 0.3), float(form == 1)]
+            if form == 4:  # a bare token needs a neighbouring word
+                row[7], row[8], row[9] = 0, 1, 0
+            if form == 2:  # a short password can be of fewer kinds
+                row[1] = np.clip(rng.normal(0.4, 0.15), 0.1, 1)
+        else:
+            form = rng.integers(0, 5)
+            if form == 0:  # placeholders in assignments
+                row = [rng.integers(6, 30), rng.uniform(0, 0.3), rng.uniform(0.4, 1), rng.uniform(0, 0.3), rng.uniform(0, 0.4), rng.uniform(0.1, 0.7), 0, 1, float(rng.random() < 0.6), float(rng.random() < 0.3), float(rng.random() < 0.3), 0]
+            elif form == 1:  # checksums and commit ids
+                row = [rng.choice([32, 40, 64]), rng.uniform(0.35, 0.65), rng.uniform(0, 0.05), 0.62 + rng.normal(0, 0.05), 0, 16 / 40, 0, 0, float(rng.random() < 0.05), float(rng.random() < 0.8), float(rng.random() < 0.5), 1]
+            elif form == 2:  # identifiers and paths
+                row = [rng.integers(20, 60), rng.uniform(0.05, 0.4), rng.uniform(0.1, 0.7), rng.uniform(0.02, 0.2), rng.uniform(0, 0.2), rng.uniform(0.3, 0.6), 0, 0, float(rng.random() < 0.2), float(rng.random() < 0.3), float(rng.random() < 0.7), 0]
+            elif form == 3:  # plain words after a telling name
+                row = [rng.integers(6, 16), rng.uniform(0, 0.12), rng.uniform(0, 0.3), 0, rng.uniform(0, 0.1), rng.uniform(0.4, 0.9), 0, 1, float(rng.random() < 0.4), float(rng.random() < 0.1), 0, 0]
+            else:  # known forms that documentation shows
+                row = [20, 0.3, rng.uniform(0.3, 0.6), 0.2, 0.7, 0.6, 1, 0, float(rng.random() < 0.5), 1, float(rng.random() < 0.5), 0]
+        x.append(row)
+        y.append(float(real))
+    return np.array(x, float), np.array(y)
+
+
+def _grow(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator):
+    if depth == 0 or len(y) < 8 or y.min() == y.max():
+        return float((y.sum() + 0.5) / (len(y) + 1))
+    best = None
+    for f in rng.choice(x.shape[1], 4, replace=False):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 15))):
+            left = x[:, f] <= cut
+            a, b = left.sum(), (~left).sum()
+            if a < 3 or b < 3:
+                continue
+            p, q = y[left].mean(), y[~left].mean()
+            gini = a * p * (1 - p) + b * q * (1 - q)
+            if best is None or gini < best[0]:
+                best = (gini, int(f), float(cut), left)
+    if best is None:
+        return float((y.sum() + 0.5) / (len(y) + 1))
+    _, f, cut, left = best
+    return f, cut, _grow(x[left], y[left], depth - 1, rng), _grow(x[~left], y[~left], depth - 1, rng)
+
+
+@lru_cache(maxsize=4)
+def _default_forest(trees: int = 15, depth: int = 5, seed: int = 3) -> tuple:
+    return forest(*made_up_findings(), trees=trees, depth=depth, seed=seed)
+
+
+def forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 5, seed: int = 3) -> tuple:
+    """Random forest on labelled findings (rows of FEATURES): bootstrap rows, some features at each split."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(trees):
+        pick = rng.integers(0, len(y), len(y))
+        out.append(_grow(x[pick], y[pick], depth, rng))
+    return tuple(out)
+
+
+def _sql(tree, name: str) -> str:
+    if isinstance(tree, float):
+        return f"{tree:.6f}D"
+    f, cut, low, high = tree
+    return f"CASE WHEN {name}[{f}] <= {cut:.8g}D THEN {_sql(low, name)} ELSE {_sql(high, name)} END"
+
+
+def with_findings(docs: DataFrame, text: str = "text", source: str | None = "source", trees: tuple | None = None, least: float = 0.5, name: str = "findings") -> DataFrame:
+    """``docs`` and an array of its findings: start (characters, from 0), length, secret, score."""
+    trees = trees or _default_forest()
+    t = F.coalesce(F.col(text), F.lit(""))
+    origin = F.col(source).cast("string") if source else F.lit("")
+    found = F.regexp_extract_all(t, F.lit(f"({CANDIDATE})"), F.lit(1))
+    none = F.array().cast("array<struct<at:int,whole:string>>")
+    placed = F.aggregate(
+        found,
+        F.struct(F.lit(1).alias("next"), none.alias("hits")),
+        lambda s, m: F.struct(
+            (F.call_function("locate", m, t, s["next"]) + F.length(m)).alias("next"),
+            F.array_append(s["hits"], F.struct(F.call_function("locate", m, t, s["next"]).alias("at"), m.alias("whole"))).alias("hits"),
+        ),
+    )["hits"]
+    prefix = f"^{_NAME}{_ASSIGN}"
+
+    def described(h: Column) -> Column:
+        value, whole, at = h["value"], h["whole"], h["at"]
+        lead = F.length(whole) - F.length(value)
+        before = F.substring(t, F.greatest(at - 32, F.lit(1)), F.least(at - 1, F.lit(32)) + lead)
+        after = F.substring(t, at + F.length(whole), F.lit(24))
+        return F.struct((at - 1 + lead).alias("start"), F.length(value).alias("length"), value.alias("secret"), F.array(*_features(value, whole, before, after, origin)).alias("x"))
+
+    valued = lambda h: F.struct(h["at"].alias("at"), h["whole"].alias("whole"), F.regexp_replace(h["whole"], prefix, "").alias("value"))
+    votes = "(" + " + ".join(_sql(tree, "h.x") for tree in trees) + f") / {len(trees)}D"
+    return (
+        docs.withColumn("_placed", placed)
+        .withColumn("_described", F.transform(F.transform("_placed", valued), described))
+        .withColumn("_scored", F.expr(f"transform(_described, h -> struct(h.start AS start, h.length AS length, h.secret AS secret, {votes} AS score))"))
+        .withColumn(name, F.expr(f"filter(_scored, h -> h.score >= {least}D)"))
+        .drop("_placed", "_described", "_scored")
+    )
+
+
+def secret_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str | None = "source") -> DataFrame:
+    """One row per secret: doc_id, start, length, score, secret_sha256 (the secret itself isn't repeated)."""
+    names = [F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), (F.col(source) if source else F.lit("")).alias("_source")]
+    found = with_findings(docs.select(*names), "_text", "_source")
+    return found.select("doc_id", F.explode("findings").alias("f")).select(
+        "doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.length").cast("long").alias("length"),
+        F.round("f.score", 6).alias("score"), F.sha2(F.col("f.secret"), 256).alias("secret_sha256"),
+    )
+
+
+def redacted(docs: DataFrame, text: str = "text", source: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret that was found replaced by ``mask``, wherever it stands in its text; a null text stays null."""
+    names = docs.columns
+    found = with_findings(docs, text, source, name="_findings")
+    clean = F.aggregate("_findings", F.col(text), lambda t, f: F.replace(t, f["secret"], F.lit(mask)))
+    return found.withColumn(text, F.when(F.size("_findings") > 0, clean).otherwise(F.col(text))).select(*names)
