@@ -108,10 +108,13 @@ def mixed(docs: DataFrame, source: str = "source", size: str = "size", doc_id: s
     lengths = docs.where(F.col(size) > 0).groupBy("_skey", F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("_n"))
     take = lengths.join(plan.select("_skey", "_budget"), "_skey").groupBy("_skey").applyInPandas(_fit, "_skey string, size long, _take long")
     key = F.xxhash64(F.lit(seed), F.col(doc_id))
-    out = ranked(docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0))), ["_skey", "_size"], [key, F.col(doc_id)], F.shiftright(key, 17), "_rank")
+    docs = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)))
+    facts = (
+        docs.select("_skey", "_size").distinct()
+        .join(take.select("_skey", F.col("size").alias("_size"), "_take"), ["_skey", "_size"], "left").join(plan.drop("_budget"), "_skey")
+    )
+    out = ranked(docs, ["_skey", "_size"], [key, F.col(doc_id)], F.shiftright(key, 17), "_rank", facts=facts)
     return (
-        out.join(take.withColumnRenamed("size", "_size"), ["_skey", "_size"], "left")
-        .join(plan, "_skey", "left")
-        .withColumn("repeats", F.when(F.col("_size") > 0, F.col("_whole") + (F.col("_rank") < F.coalesce("_take", F.lit(0))).cast("int")).otherwise(0))
-        .drop("_skey", "_size", "_rank", "_take", "_whole", "_budget")
+        out.withColumn("repeats", F.when(F.col("_size") > 0, F.col("_whole") + (F.col("_rank") < F.coalesce("_take", F.lit(0))).cast("int")).otherwise(0))
+        .drop("_skey", "_size", "_rank", "_take", "_whole")
     )

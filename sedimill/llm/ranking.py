@@ -10,16 +10,19 @@ from pyspark.sql.window import Window
 SHARDS = 64
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], shard_by: Column, name: str = "rank", shards: int = SHARDS) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[Column], shard_by: Column, name: str = "rank", shards: int = SHARDS, facts: DataFrame | None = None) -> DataFrame:
     """``df`` with a rank from 0 within each group, gapless, the same on every run.
 
     Ranks follow (shard, ``order``). ``df`` is read twice and should be cheap to read.
-    Group columns must not be null.
+    Group columns must not be null. ``facts``, a row for each group, is joined to the
+    counts rather than to ``df``, which is then exchanged only once.
     """
     df = df.withColumn("_shard", F.pmod(shard_by, F.lit(shards)).cast("int"))
     counts = df.groupBy(*groups, "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*groups, "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    if facts is not None:
+        first = first.join(facts, groups, "left")
     own = Window.partitionBy(*groups, "_shard").orderBy(*order)
     return (
         df.withColumn("_row", F.row_number().over(own))
