@@ -318,8 +318,8 @@ def repeats_removed(docs: DataFrame, threshold: int = 200, text: str = "text", d
         alone.select("uid", check, (spot * 4 + ALONE).alias("code"))
     )
     told = written(told.groupBy(*key).agg(F.collect_list("code").alias("codes")), "anchors")  # a document's anchors
-    texts = written(packed(docs, threshold, text).join(told.select(*key).distinct(), key, "left_semi"), "texts")
-    both = texts.join(told, key).select(*key, "packed", "codes")
+    # one exchange of the texts serves both rounds that look into them again
+    both = packed(docs, threshold, text).hint("merge").join(told, key).select(*key, "packed", "codes")
     single = (
         both.mapInArrow(_positions(threshold), "rank long, uid long, spot long")
         .groupBy("rank").agg(count.alias("n"), F.first("uid").alias("uid"), F.first("spot").alias("spot")).where("n = 1")
