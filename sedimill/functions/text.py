@@ -29,6 +29,8 @@ def special_class() -> str:
 
 
 SPECIAL = special_class()
+#: The same for one character in Java: common letters are told apart before the long class is looked through.
+ONE_SPECIAL = f"(?:(?![a-zA-Z\\x{{c0}}-\\x{{d6}}\\x{{d8}}-\\x{{f6}}\\x{{f9}}-\\x{{ff}}])[{SPECIAL}])"
 
 
 def is_special(char: str) -> bool:
@@ -41,7 +43,7 @@ def strip(c: Column) -> Column:
 
 
 def strip_special(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPECIAL}]+|[{SPECIAL}]+\\z", "")
+    return F.regexp_replace(c, f"^{ONE_SPECIAL}+|{ONE_SPECIAL}+\\z", "")
 
 
 def java_replacement(repl: str) -> str:

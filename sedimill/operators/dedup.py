@@ -8,6 +8,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def minhash(df: DataFrame, ctx: Context, tokenization: str = "space", window_siz
 
     ``compat`` leaves out each text's last window and lets all texts without a window fall together.
     """
-    import pandas as pd
-
     bands, rows = (num_bands, num_rows_per_band) if num_bands and num_rows_per_band else optimal_bands(jaccard_threshold, num_permutations)
     prime, top = np.uint64((1 << 61) - 1), np.uint64((1 << 32) - 1)
     rng = np.random.RandomState(42)
@@ -135,8 +134,6 @@ def _simhash(tokens: set[str]) -> int:
 @register("document_simhash_deduplicator", "deduplicator", tier="R")
 def simhash(df: DataFrame, ctx: Context, tokenization: str = "space", window_size: int = 6, lowercase: bool = True, ignore_pattern: str | None = None, num_blocks: int = 6, hamming_distance: int = 4, compat: bool = False) -> DataFrame:
     """Near copies by 64-bit SimHash: hashes that differ in at most ``hamming_distance`` bits share blocks."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
         join = "" if tokenization == "character" else " "

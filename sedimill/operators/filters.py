@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,8 +61,6 @@ def character_repetition(c: Column, rep_len: int = 10, min_ratio: float = 0.0, m
 
 
 def _char_repetition(n: int):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         from collections import Counter
@@ -88,8 +87,6 @@ def word_repetition(c: Column, lang: str = "en", tokenization: bool = False, rep
 
 
 def _word_repetition(n: int):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(lists: pd.Series) -> pd.Series:
         from collections import Counter
@@ -110,7 +107,7 @@ def _word_repetition(n: int):
 @register("special_characters_filter", "filter", form="stats")
 def special_characters(c: Column, min_ratio: float = 0.0, max_ratio: float = 0.25):
     """Share of special characters: punctuation, digits, white space, symbols, emoji."""
-    value = T.ratio(F.length(c) - F.length(F.regexp_replace(c, f"[{T.SPECIAL}]", "")), F.length(c))
+    value = T.ratio(F.length(c) - F.length(F.regexp_replace(c, T.ONE_SPECIAL, "")), F.length(c))
     return _stat("special_char_ratio", value, min_ratio, max_ratio)
 
 
@@ -269,8 +266,6 @@ def cosine_with(v: Column, query: list) -> Column:
 @register("language_id_score_filter", "filter", tier="R")
 def language_id_score(df: DataFrame, ctx: Context, lang: str | list = "", min_score: float = 0.8) -> DataFrame:
     """Rows in one of the languages with at least this score. A backend maps a text to (language, score); the default counts function words."""
-    import pandas as pd
-
     model = ctx.backends.get("language_id_score_filter", guess_language)
 
     @F.pandas_udf("struct<lang string, score double>")
@@ -307,8 +302,6 @@ def guess_language(text: str) -> tuple[str, float]:
 @register("token_num_filter", "filter", tier="R")
 def token_num(df: DataFrame, ctx: Context, hf_tokenizer: str | None = None, min_num: int = 10, max_num: int = sys.maxsize) -> DataFrame:
     """Number of tokens in range. ``hf_tokenizer``: a tokenizer's file; without it, words and punctuation marks count."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         if hf_tokenizer:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ _API = {"model_url": "", "model_name": "", "auth_token": ""}
 
 def ask(df: DataFrame, ctx: Context, name: str, prompt, parse, kind: str, out: str, tries: int = 3) -> DataFrame:
     """``df`` with ``out`` = parse(text, answer) of a model asked once a row, again on errors; null after ``tries``."""
-    import pandas as pd
-
     client = need(ctx, name)
 
     @F.pandas_udf(kind)
@@ -137,8 +136,6 @@ _rated(
 def _augmented(name: str, methods: dict) -> None:
     def fn(df, ctx, p):
         """1 to N: the original (if kept) and augmented texts. The backend maps (text, method, seed) to a text."""
-        import pandas as pd
-
         change = need(ctx, name)
         on = [k for k in methods if p[k]]
         sequential, times, keep = p["sequential"], p["aug_num"], p["keep_original_sample"]
@@ -181,8 +178,6 @@ def _chinese(df: DataFrame, ctx: Context, p: dict) -> DataFrame:
                 c = F.replace(c, F.lit(k), F.lit(v))
         return df.withColumn(ctx.text_key, F.translate(c, "".join(single), "".join(single.values())))
     mode = p["mode"]
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else table(t, mode))

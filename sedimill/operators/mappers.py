@@ -7,6 +7,7 @@ import sys
 import unicodedata
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -274,8 +275,6 @@ def sentence_split(text: str, lang: str = "en") -> str:
 
 def _exploded(df: DataFrame, ctx: Context, fn) -> DataFrame:
     """1 to N: a function from a text to its chunks; a text without chunks gives no row."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fn(t) if t else [])

@@ -16,6 +16,7 @@ import sys
 import wave
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +85,6 @@ def file_digest(path: str, **_) -> str:
 
 def values(df: DataFrame, column: str, fn, params: dict, kind: str, name: str = "_values") -> DataFrame:
     """``df`` with the backend's value for each path of an array column."""
-    import pandas as pd
-
     @F.pandas_udf(f"array<{kind}>")
     def run(lists: pd.Series) -> pd.Series:
         known: dict = {}
@@ -175,8 +174,6 @@ _media_filter("video_watermark_filter", "videos", {"hf_watermark_model": "amrul-
 def _text_media_filter(name: str, column: str, params: dict, low: str, high: str) -> None:
     def fn(df, ctx, p):
         """Rows of which any or all text chunks match their media; the backend maps (chunk, paths) to a score."""
-        import pandas as pd
-
         score = need(ctx, name)
         token = IMAGE_TOKEN if column == "images" else VIDEO_TOKEN
         own = {k: v for k, v in p.items() if k not in ("any_or_all", low, high)}
@@ -268,8 +265,6 @@ def rescale(width: int, height: int, low: Fraction, high: Fraction, strategy: st
 def _text_maker(name: str, column: str, params: dict) -> None:
     def fn(df, ctx, p):
         """1 to N: after the original (if kept), one row for each text that the backend makes of (text, paths); rows without media stay alone."""
-        import pandas as pd
-
         make = need(ctx, name)
         own = {k: v for k, v in p.items() if k != "keep_original_sample"}
         keep = p.get("keep_original_sample", True)

@@ -6,6 +6,7 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,6 @@ def names() -> list[str]:
 
 def _python(df: DataFrame, ctx: Context, fn: Callable, params: dict) -> DataFrame:
     """Apply a Python function to texts in Arrow batches; rows for which it raises are dropped, kept as they were, or end the job."""
-    import pandas as pd
 
     policy = ctx.on_error
 

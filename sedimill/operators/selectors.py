@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +28,8 @@ def frequency(df: DataFrame, ctx: Context, field_key: str = "", top_ratio: float
     counts = df.groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min(ctx.id_col).alias("_first"))
     k = _size(counts, top_ratio, topk)
     best = counts.orderBy(F.desc("_n") if reverse else F.asc("_n"), "_first").limit(k)
-    return df.withColumn("_v", c).join(best.select("_v"), F.col("_v").eqNullSafe(best["_v"]), "left_semi").drop("_v")
+    keyed = df.withColumn("_v", c)
+    return keyed.join(best.select(F.col("_v").alias("_w")), F.col("_v").eqNullSafe(F.col("_w")), "left_semi").drop("_v")
 
 
 @register("random_selector", "selector", tier="R")
@@ -74,8 +76,6 @@ def nearest(df: DataFrame, ctx: Context, auth_token: str = "", model_url: str =
     The rows are packed into blocks; each pair of blocks is one matrix product, and only its k best for each row go on.
     """
     import numpy as np
-    import pandas as pd
-
     ids = df.select(F.col(ctx.id_col).alias("id"), F.col(embedding_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     rows = ids.count()
     groups = max(1, -(-rows // block))
