@@ -84,11 +84,60 @@ def compile_plan(df: DataFrame, recipe: Recipe, ctx: Context | None = None, upto
     """The recipe over a frame, as one lazy plan."""
     ctx = ctx or Context(text_key=recipe.text_keys, id_col=recipe.id_col, on_error=recipe.on_error)
     steps = recipe.validated()
-    for op, params in (ordered(steps) if recipe.fusion else steps)[:upto]:
-        df = op.apply(df, ctx, **params)
+    if not recipe.fusion:
+        for op, params in steps[:upto]:
+            df = op.apply(df, ctx, **params)
+        return df
+    run: list = []
+    for step in [*ordered(steps)[:upto], None]:
+        if step and step[0].form in ("column", "stats") and step[0].name not in PYTHON_STATS:
+            run.append(step)
+            continue
+        df = fused(df, run, ctx)
+        run = []
+        if step:
+            df = step[0].apply(df, ctx, **step[1])
     return df
 
 
+#: Filters whose statistic is a Python function, which can't stand inside a fused expression.
+PYTHON_STATS = ("character_repetition_filter", "word_repetition_filter")
+
+
+def fused(df: DataFrame, steps: list, ctx: Context) -> DataFrame:
+    """A run of native mappers and filters as one expression over an array of the one text, which filters may empty.
+
+    Catalyst would copy a mapper's expression into every later use of the text, in
+    predicates too, and so compute it many times; here each step is computed once.
+    """
+    kinds = [op.form for op, _ in steps]
+    if "column" not in kinds or "stats" not in kinds[kinds.index("column"):]:
+        for op, params in steps:
+            df = op.apply(df, ctx, **params)
+        return df
+    rows = F.array(F.col(f"`{ctx.text_key}`"))
+    for op, params in steps:
+        if op.form == "column":
+            rows = F.transform(rows, _mapped(op, params))
+        else:
+            rows = F.filter(rows, _kept(op, params))
+    names = [c for c in df.columns if c != ctx.text_key]
+    out = df.select(*(f"`{c}`" for c in names), F.explode(rows).alias(ctx.text_key))
+    return out.select(*(f"`{c}`" for c in df.columns))
+
+
+def _mapped(op: registry.Operator, params: dict):
+    return lambda t: op.fn(t, **params)
+
+
+def _kept(op: registry.Operator, params: dict):
+    def keep(t):
+        values, test = op.fn(t, **params)
+        return test(values)
+
+    return keep
+
+
 def stats_frame(df: DataFrame, recipe: Recipe, ctx: Context | None = None) -> DataFrame:
     """``df`` and a ``_stats`` struct with each native filter's statistics, without filtering; equal statistics are computed once."""
     ctx = ctx or Context(text_key=recipe.text_keys, id_col=recipe.id_col)
