@@ -19,7 +19,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, fitted(docs, labels)).where("predicted = 1").select(*docs.columns)
+    return scored(docs, fitted(docs, labels), score="_score", predicted="_predicted").where("_predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    out = mixed(docs.withColumn("_words", word_count(F.col("text"))), size="_words").where("repeats > 0")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    whole = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.struct(*docs.columns).alias("document"))
+    out = mixed(whole, size="words").where("repeats > 0")
+    return out.select("document", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("document.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

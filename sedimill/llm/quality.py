@@ -186,8 +186,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     return boosted(x[order], (found["_y"].to_numpy()[order] >= 0.5).astype(float))
 
 
-def scored(docs: DataFrame, trees: Trees, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold)."""
+def scored(docs: DataFrame, trees: Trees, threshold: float = 0.7, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """All columns of ``docs`` with a score (0 to 1) and a prediction (1 if score >= threshold); give other names if ``docs`` has these."""
+    if {score, predicted} & set(docs.columns):
+        raise ValueError(f"the documents have a column {score} or {predicted}")
     tuned(docs.sparkSession)
     names = docs.columns
     at_text = names.index(text)
@@ -201,7 +203,7 @@ def scored(docs: DataFrame, trees: Trees, threshold: float = 0.7, text: str = "t
 
     schema = ", ".join([*(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)), "score double, predicted int"])
     out = docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
-    return out.toDF(*names, "score", "predicted")
+    return out.toDF(*names, score, predicted)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
