@@ -8,8 +8,10 @@ meet the threshold differ in at most H shingles, so of m = H + 1 + spare segment
 a key are candidates, and candidates are verified exactly on their shingles.
 
 Large groups don't produce all pairs. Sets sharing a key are first verified against
-one leader each (a star); then only keys that still join different components count,
-and only their cross-component pairs are verified. A key that is still crowded then
+one leader each (a star); then only keys that still join different components count.
+Shingles that no other open set has bound what a set can share; sets (and pairs) that
+the bound rules out are set aside, the rest are verified against each key's most
+central set, and only the cross-component pairs still left are verified. A key that is still crowded then
 is passed over for sets with at most ``spare`` such keys, as any partner shares
 another key with them; the few sets beyond that are verified against each other.
 
@@ -43,6 +45,10 @@ BAND = 1.4
 SPARE = 0.12
 #: A key that still joins this many sets of several components is crowded.
 CROWD = 48
+#: Keys of a set that its rows carry along, at most.
+LISTED = 256
+#: Rounds of setting aside sets that can't have a partner among the open ones.
+PEELS = 2
 _SEG = U64(0xA0761D6478BD642F)
 
 
@@ -246,6 +252,34 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_linked(k, num, den), "a long, b long")
 
 
+def _members(k: int):
+    """Rows of a set's shingles."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                raw = [unpack.decompress(x.as_py()) for x in part.column(1)]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+                h, own = shingles(np.frombuffer(b"".join(raw), np.uint8), at, k)
+                n = np.diff(own)
+                ids = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(h.view(np.int64))], ["set_id", "n", "shingle"])
+
+    return run
+
+
+def _open_rows(index: DataFrame, parts: DataFrame, *extra: str) -> DataFrame:
+    """Index rows of the keys that join several components: key, set_id, tag, part, crowd (rows of the key)."""
+    named = index.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
+    keys = (
+        named.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("crowd"))
+        .where("p0 != p1").select("key", "crowd")
+    )
+    return written(named.join(keys, "key").select("key", "set_id", "tag", "part", "crowd", *extra), "open")
+
+
 def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
     """(node, component): the components of the distinct sets that have a partner."""
     spark = docs.sparkSession
@@ -266,32 +300,57 @@ def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text")
     )
     links = written(verified(stars, texts, k, num, den), "links")
     parts = written(connected_components(links, "a", "b"), "parts")
-    # what these components don't settle: keys that still join several of them
-    named = (
-        index.select("key", "set_id", "tag").distinct()
-        .join(parts.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .withColumn("part", F.coalesce("component", "set_id"))
-        .select("key", "set_id", "tag", "part")
+    rows = _open_rows(index.select("key", "set_id", "tag").distinct(), parts)
+    # shingles that only one open set has can't be shared: they bound a set's overlap with any other
+    members = written(
+        texts.join(rows.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "packed").mapInArrow(_members(k), "set_id long, n int, shingle long"),
+        "members",
     )
-    open_keys = (
-        named.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n"))
-        .where("p0 != p1").select("key", "n")
+    sizes = None
+    for _ in range(PEELS):
+        own = (
+            members.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.first("set_id").alias("set_id")).where("c = 1")
+            .groupBy("set_id").agg(F.count(F.lit(1)).alias("lone"))
+        )
+        sizes = written(
+            members.groupBy("set_id").agg(F.first("n").alias("n")).join(own, "set_id", "left")
+            .select("set_id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+            .where(F.col("common") * den >= F.col("n") * num),  # else no partner can be found among the open sets
+            "sizes",
+        )
+        members = members.join(sizes.select("set_id"), "set_id", "left_semi")
+    # the sets nearest to a group's core are the better leaders; one more star around them
+    rows = _open_rows(rows.select("key", "set_id", "tag").join(sizes, "set_id"), parts, "n", "common")
+    core = rows.groupBy("key").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "set_id", "part")).alias("core"))
+    second = (
+        rows.join(core, "key").where("part != core.part").select(F.col("set_id").alias("a"), F.col("core.set_id").alias("b")).distinct()
+        .join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
     )
-    rows = written(named.join(open_keys, "key"), "open")
+    second = written(second, "stars")
+    links = written(links.union(verified(second, texts, k, num, den)), "links")
+    parts = written(connected_components(links, "a", "b"), "parts")
+    rows = _open_rows(rows.drop("part", "crowd"), parts, "n", "common")
     # sets with more crowded keys than their scheme can spare are compared on these keys too
     beyond = (
-        rows.where(F.col("n") > CROWD).groupBy("set_id", "tag").agg(F.count(F.lit(1)).alias("crowded"))
+        rows.where(F.col("crowd") > CROWD).groupBy("set_id", "tag").agg(F.count(F.lit(1)).alias("crowded"))
         .where(F.col("crowded") > F.col("tag") % 4096 - 1).select("set_id", "tag")
     )
-    rare = rows.where(F.col("n") <= CROWD)
-    rest = rows.where(F.col("n") > CROWD).join(beyond, ["set_id", "tag"], "left_semi")
+    rare = rows.where(F.col("crowd") <= CROWD)
+    rest = rows.where(F.col("crowd") > CROWD).join(beyond, ["set_id", "tag"], "left_semi")
     pairs = None
     for some in (rare, rest):
-        x = some.select("key", F.col("set_id").alias("a"), F.col("part").alias("pa"))
-        y = some.select("key", F.col("set_id").alias("b"), F.col("part").alias("pb"))
-        got = x.join(y, "key").where("pa < pb").select("a", "b").distinct()
+        keys = some.groupBy("set_id").agg(F.collect_set("key").alias("keys"))  # a set's own keys
+        some = some.join(keys.select("set_id", F.when(F.size("keys") <= LISTED, F.col("keys")).alias("keys")), "set_id")
+        x = some.select("key", F.col("set_id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("keys").alias("ka"))
+        y = some.select("key", F.col("set_id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("keys").alias("kb"))
+        # the overlap is at most the smaller common part
+        can = F.least("ca", "cb") * (den + num) >= (F.col("na") + F.col("nb")) * num
+        # a pair that shares several keys is formed at the smallest of them only (sets of very many keys don't carry the list)
+        first = F.coalesce(F.array_min(F.array_intersect("ka", "kb")) == x["key"], F.lit(True))
+        got = x.join(y, (x["key"] == y["key"]) & (F.col("pa") < F.col("pb")) & can & first).select("a", "b").distinct()
         pairs = got if pairs is None else pairs.union(got)
-    tried = stars.union(stars.select("b", "a"))
+    tried = stars.union(second)
+    tried = tried.union(tried.select("b", "a"))
     more = written(verified(pairs.distinct().join(tried, ["a", "b"], "left_anti"), texts, k, num, den), "links")
     if not more.isEmpty():
         parts = written(connected_components(links.union(more), "a", "b"), "parts")
