@@ -65,8 +65,10 @@ def words(c: Column) -> Column:
 
 
 def refined_words(c: Column, lower: bool = True) -> Column:
-    """Words in lower case without special characters at their ends."""
-    return F.filter(F.transform(words(F.lower(c) if lower else c), strip_special), lambda w: w != "")
+    """Words in lower case without special characters at their ends, which one pass over the whole text takes off."""
+    one = f"(?:(?![a-zA-Z \\n\\t])[{SPECIAL}])"
+    ends = rf"(?<![^ \n\t]){one}++|(?<!{one}){one}++(?=[ \n\t]|\z)"
+    return words(F.regexp_replace(F.lower(c) if lower else c, ends, ""))
 
 
 def augmented(ws: Column, sizes: list[int], joiner: str) -> Column:

@@ -118,10 +118,12 @@ def words_num(c: Column, lang: str = "en", tokenization: bool = False, min_num:
 
 
 def _listed(c: Column, words: list, use_words_aug: bool, sizes: list, joiner: str) -> Column:
-    ws = T.refined_words(c)
-    pool = T.augmented(ws, sizes, joiner) if use_words_aug else ws
-    hits = F.size(F.filter(pool, lambda w: w.isin(*words) if words else F.lit(False)))
-    return F.least(T.ratio(hits, F.size(ws)), F.lit(1.0))
+    def share(ws: Column) -> Column:
+        pool = T.augmented(ws, sizes, joiner) if use_words_aug else ws
+        hits = F.size(F.filter(pool, lambda w: w.isin(*words) if words else F.lit(False)))
+        return F.least(T.ratio(hits, F.size(ws)), F.lit(1.0))
+
+    return F.get(F.transform(F.array(T.refined_words(c)), share), 0)  # the words are made once
 
 
 def _list_of(lists: dict, lang: str, given) -> list:
