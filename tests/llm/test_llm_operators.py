@@ -166,8 +166,8 @@ def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert {r["score"] for r in quality.quality_scores(edge, labels).collect()} == {0.5}
     assert quality.quality_scores(none, labels).collect() == []
-    trees = quality.boosted(np.array([[float(i)] for i in range(40)]), np.array([0.0] * 20 + [1.0] * 20))
-    assert trees.score(np.array([[0.0]]))[0] < 0.2 and trees.score(np.array([[39.0]]))[0] > 0.8
+    trees = quality.boosted(np.array([[float(i)] for i in range(400)]), np.array([0.0] * 200 + [1.0] * 200))
+    assert trees.score(np.array([[0.0]]))[0] < 0.2 and trees.score(np.array([[399.0]]))[0] > 0.8
 
 
 def test_media_round_trip(edge, none):
