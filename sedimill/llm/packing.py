@@ -30,11 +30,14 @@ from .textnp import flat, tuned
 WINDOW = 4096
 END = 2
 #: Distinct words whose ids a worker remembers, and the longest of them in bytes.
-CACHE, CACHED = 300_000, 64
+CACHE, CACHED = 1_000_000, 64
 
 
 class WordIds:
-    """Token ids of whole texts. White space never joins words in this tokenizer, so words are looked up one by one."""
+    """Token ids of whole texts. White space never joins words in this tokenizer, so words are looked up one by one.
+
+    It lower-cases and splits letters from punctuation, so a word and one punctuation mark after it are looked up apart.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,29 +45,55 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        split, plain = [], dict.fromkeys(new)
+        for w in new:
+            if w[-1:] in b".,;:!?" and len(w) > 1 and w[:-1].decode(errors="ignore")[-1:].isalnum() and b"<|" not in w:
+                split.append(w)
+                del plain[w]
+                for part in (w[:-1], w[-1:]):
+                    if part not in self.known:
+                        plain[part] = None
+        todo = list(plain)
+        for lo in range(0, len(todo), 4096):
+            some = todo[lo : lo + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in split:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws}.difference(self.known))
+        # a special token's own name counts only as it is written
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = {w for ws in split for w in ws}.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            new = {w for ws in split for w in ws}
+        self._learn(sorted(new))
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in split]
         for w in new:
             if len(w) > CACHED:
-                del self.known[w]
+                self.known.pop(w, None)
+                self.known.pop(w[:-1], None)
         return out
 
 
+_tokenizers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, which runs many tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
+    return _tokenizers[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches):
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         last = np.array([end], "<u4")
         for batch in batches:
             data, at = flat(batch.column(1))
