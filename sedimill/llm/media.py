@@ -265,7 +265,7 @@ def _dc_values(data: np.ndarray, at: np.ndarray, blocks_in: np.ndarray, order: l
 
 
 def decoded(images: list[bytes | None]) -> list[tuple[int | None, int | None, list[np.ndarray]]]:
-    """Width and height of each stored form's first image, and the DC-only luminance images of all its frames."""
+    """Each stored form's width (of its widest frame) and height (of all its frames), and the DC-only luminance images of its frames."""
     frames, groups = [], defaultdict(list)
     for i, image in enumerate(images):
         try:
@@ -317,19 +317,30 @@ def decoded(images: list[bytes | None]) -> list[tuple[int | None, int | None, li
     for m, (i, f, _) in enumerate(frames):
         w, h, all_ = result[i]
         if m in pictures:
-            result[i] = (f["width"] if w is None else w, f["height"] if h is None else h, [*all_, pictures[m]])
+            result[i] = (max(w or 0, f["width"]), (h or 0) + f["height"], [*all_, pictures[m]])
     return result
 
 
+def stacked(pictures: list[np.ndarray]) -> np.ndarray:
+    """The frames of a stored form below one another, narrower ones filled up with zeros on the right."""
+    if len(pictures) == 1:
+        return pictures[0]
+    width = max(p.shape[1] for p in pictures)
+    return np.concatenate([p if p.shape[1] == width else np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in pictures])
+
+
 def thumb_hash(picture: np.ndarray) -> int:
     """64 bits: which of 8x8 area means lie above the mean of them all."""
     rows = np.linspace(0, picture.shape[0], 9).astype(int)
     cols = np.linspace(0, picture.shape[1], 9).astype(int)
-    total = np.pad(picture.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
     r0, c0 = np.minimum(rows[:-1], picture.shape[0] - 1), np.minimum(cols[:-1], picture.shape[1] - 1)
     r1, c1 = np.maximum(rows[1:], r0 + 1), np.maximum(cols[1:], c0 + 1)
+    # strip by strip, as a long text's picture is too large to be held in wider numbers
+    total = np.zeros((8, picture.shape[1] + 1), np.int64)
+    for k in range(8):
+        picture[r0[k] : r1[k]].sum(0, dtype=np.int64).cumsum(out=total[k, 1:])
     area = (r1 - r0)[:, None] * (c1 - c0)
-    means = (total[np.ix_(r1, c1)] - total[np.ix_(r0, c1)] - total[np.ix_(r1, c0)] + total[np.ix_(r0, c0)]) / area
+    means = (total[:, c1] - total[:, c0]) / area
     return int(np.packbits((means > means.mean()).ravel()).tobytes().hex(), 16)
 
 
@@ -359,7 +370,7 @@ def media_column(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",))
 
 
 def media_features(frame: DataFrame, media: str = "media") -> DataFrame:
-    """All columns but ``media``, and what the stored bytes hold: sizes, digests, the DC-only image's bytes digested, and its hash."""
+    """All columns but ``media``, and what the stored bytes hold: sizes, digests, the bytes of all frames' DC-only images digested, and the hash of these images below one another."""
     names = [c for c in frame.columns if c != media]
     types = dict(frame.dtypes)
     extra = ["width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -377,7 +388,7 @@ def media_features(frame: DataFrame, media: str = "media") -> DataFrame:
                 for image, (w, h, pictures) in zip(images, decoded(images), strict=True):
                     image = image or b""
                     payload = b"".join(p.tobytes() for p in pictures)
-                    feature = f"{w}x{h}:{thumb_hash(pictures[0]):016x}" if pictures else ""
+                    feature = f"{w}x{h}:{thumb_hash(stacked(pictures)):016x}" if pictures else ""
                     rows.append((w, h, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
