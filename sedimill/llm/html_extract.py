@@ -40,7 +40,13 @@ SALTS = 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<code>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=code)\s*>|\Z)"
+    # closed by itself, closed by an end tag, or else only the tag
+    r"|<(?:noscript|template|iframe|svg|textarea|select|object|title)(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
+    r"|<(?P<inert>noscript|template)(?=[\s/>])[^>]*>.*?</(?P=inert)\s*>"
+    r"|<(?P<raw>iframe|textarea|select|title)(?=[\s/>])[^>]*>(?:[^<]++|<(?!/?(?:article|main|body|html|(?P=raw))[\s/>]))*+</(?P=raw)\s*>"
+    r"|<(?P<nests>svg|object)(?=[\s/>])[^>]*>(?:[^<]++|<(?!/?(?:article|main|body|html)[\s/>]|/(?P=nests)\s*>))*+</(?P=nests)\s*>"
+    r"|<(?:noscript|template|iframe|svg|textarea|select|object|title)(?=[\s/>])[^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<attrs2>[^>]*)>"
     r"|<[!?][^>]*>",
