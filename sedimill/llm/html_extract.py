@@ -151,10 +151,13 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool]]:
 
 def extract(page: str | None, template: frozenset | set = frozenset()) -> str:
     """The page's main text, given its host's template."""
-    found = [(text, main) for code, text, out, main in tokens(page or "") if text is not None and not out and code not in template]
-    if any(main for _, main in found):
-        found = [x for x in found if x[1]]
-    return "\n\n".join(text for text, _ in found)
+    return "\n\n".join(text for code, text, main in _blocks(tokens(page or "")) if main or code not in template)
+
+
+def _blocks(found) -> list[tuple[int, str, bool]]:
+    """The text blocks that can be main text: those in an article or main element, if there are any."""
+    own = [(code, text, main) for code, text, out, main in found if text is not None and not out]
+    return [x for x in own if x[2]] if any(main for _, _, main in own) else own
 
 
 def host(url):
@@ -162,15 +165,16 @@ def host(url):
 
 
 def _counted(batches):
-    """host, page, code, element, n: a page's tokens; ``page`` names the page's content, so that copies count once."""
+    """host, page, code, element, n: a page's tokens; ``page`` names the page's main blocks, so that copies count once, whatever menu or advert they carry."""
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = page or ""
             own: dict[int, list] = {}
-            for code, text, _, _ in tokens(page):
+            seen = list(tokens(page))
+            for code, text, _, _ in seen:
                 own.setdefault(code, [text is None, 0])[1] += 1
-            uid = _code(page)
+            uid = _code(*(text for _, text, _ in _blocks(seen)))
             cols[0] += [name] * len(own)
             cols[1] += [uid] * len(own)
             cols[2] += own.keys()
@@ -185,7 +189,7 @@ def _counted(batches):
 def templates(pages: DataFrame) -> DataFrame:
     """host, code, element: the tokens of all hosts' templates. ``pages`` has host and html."""
     rows = pages.mapInArrow(_counted, "host string, page long, code long, element boolean, n int")
-    once = rows.groupBy("host", "page", "code").agg(F.first("element").alias("element"), F.first("n").alias("n"))
+    once = rows.groupBy("host", "page", "code").agg(F.first("element").alias("element"), F.max("n").alias("n"))
     vectors = once.groupBy("host", "code").agg(
         F.first("element").alias("element"), F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector")
     )
