@@ -5,11 +5,13 @@ blocks (with path and text). For each host, Spark folds each token's occurrence
 over the host's pages into a 64-bit signature (the xor of a code of page and count), so
 that tokens sharing a vector form a class without gathering a host's pages anywhere. A
 class is valid if it is found on most of the host's distinct pages and has an element
-among its tokens; valid classes nest by their paths into the host's template. A page's
-remaining slots are what the template doesn't fill; slots inside elements that are
-menus, headers, footers, sidebars, notices, adverts, forms or comments (by tag, role,
-class or id) are left out, and if the page has an article or main element only slots
-inside it count.
+among its tokens. Pages count as distinct if their main blocks differ. The text tokens of
+valid classes are left out of the host's pages, but never inside an article or main
+element. Classes are not ordered or nested into a template with slots: deduction ends at
+the classes, and on hosts of fewer than PAGES pages there are none. Text inside elements
+that are menus, headers, footers, sidebars, notices, adverts, forms or comments (by tag,
+role, class or id) is left out everywhere, and if the page has an article or main element
+only text inside it counts.
 
 Defined results: a null or empty html gives an empty text; a null url belongs to the
 host ""; broken markup is read as far as it goes; repeated rows are treated alike; an
@@ -187,7 +189,7 @@ def _counted(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, code, element: the tokens of all hosts' templates. ``pages`` has host and html."""
+    """host, code, element: the tokens of all hosts' valid classes, not nested. ``pages`` has host and html."""
     rows = pages.mapInArrow(_counted, "host string, page long, code long, element boolean, n int")
     once = rows.groupBy("host", "page", "code").agg(F.first("element").alias("element"), F.max("n").alias("n"))
     vectors = once.groupBy("host", "code").agg(
@@ -207,7 +209,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     tuned(spark)
     kind = dict(pages.dtypes)[page_id]
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host(F.col(url)).alias("host"))
-    found = written(templates(rows.select("host", "html")).where("not element").select("host", "code"), "template")  # slots hold text: only its text tokens fill them
+    found = written(templates(rows.select("host", "html")).where("not element").select("host", "code"), "template")  # what is left out is text
     schema = f"page_id {kind}, url string, text string"
 
     def texts(batch, of):
