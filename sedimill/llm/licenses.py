@@ -1,7 +1,11 @@
 """Licence scan with a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs (lines) of documents that hold any cue of a licence are turned into hashed
-word 1- to 3-grams, and a multinomial logistic regression gives each licence family and
+Each line is a paragraph, and so is each line with the words that follow it up to the next
+blank line, as many as the longest template has, so that a notice wrapped over lines is
+read as one. Those that share a telling word or a pair of words with any template (or hold
+a cue) are turned into hashed word 1- to 3-grams; what shares nothing with a template is
+unknown. A wrapped notice is given at the line it starts in, once, and only if no single
+line of it is confirmed as the same family. Then a multinomial logistic regression gives each licence family and
 the class "unknown" a probability. The weights are trained on the driver from phrases
 written out from the families' templates and from other sentences (a few thousand
 paragraphs, whatever the corpus); the temperature and the least probability are
@@ -23,6 +27,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sedimill.functions.durable import written
 
 WIDTH = 2048
 #: Phrases by licence family. The first word group of each entry is what a template comparison asks for.
@@ -55,6 +62,26 @@ _OTHERS = [
 ]
 CUES = r"(?i)licen[cs]|copyright|creative commons|\bcc[- ]by\b|\bcc0\b|public domain|permission (is hereby|to use)|redistribution|\b[al]?gpl|apache|\bmpl\b|mozilla public|rights reserved|proprietary"
 
+#: Template words that say nothing by themselves; two of them in a template's order do.
+_PLAIN = frozenset("the is of to any a this or and in with without are by for all may not be use free person version source general public file into later copy forms under 1.0 2 2.0 2.1 3 3.0 4.0 released software http modify charge purpose international universal library".split())
+_TEMPLATES = [p.split() for phrases in FAMILIES.values() for p in phrases]
+#: Words after a line that a template starting in it can reach.
+REACH = max(map(len, _TEMPLATES)) - 1
+
+
+def _prefilter() -> str:
+    """A pattern that finds every n-gram of a template, but for single plain words."""
+    words = {w for t in _TEMPLATES for w in t} - _PLAIN
+    pairs: dict[str, set] = {}
+    for t in _TEMPLATES:
+        for a, b in zip(t, t[1:], strict=False):
+            if a in _PLAIN and b in _PLAIN:
+                pairs.setdefault(a, set()).add(b)
+    any_of = lambda xs: "|".join(x.replace(".", "[.]") for x in sorted(xs))
+    two = "|".join(f"{a.replace('.', '[.]')}[^\\p{{L}}\\p{{N}}]+(?:{any_of(bs)})" for a, bs in sorted(pairs.items()))
+    return rf"{CUES}|(?<![\p{{L}}\p{{N}}])(?:{any_of(words)}|{two})(?![\p{{L}}\p{{N}}])"
+
+
 
 def grams_of(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
@@ -119,13 +146,29 @@ def _words(paragraph: Column) -> Column:
 def license_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per paragraph of a licence family: doc_id, paragraph (from 0), family, probability, confirmed, excerpt (the whole paragraph)."""
     names, w, temperature, least = trained()
-    rows = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).where(F.col("_text").rlike(CUES))
+    may = _prefilter()
+    blank = r"^\s*$"
+    lines = (
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).where(F.col("_text").rlike(may))
         .withColumn("_row", F.monotonically_increasing_id())
-        .select("_row", "doc_id", F.posexplode(F.split("_text", r"\r?\n")).alias("paragraph", "excerpt"))
-        .where(F.col("excerpt").rlike(CUES))
-        .withColumn("_words", _words(F.col("excerpt")))
+        .withColumn("_lines", F.split("_text", r"\r?\n"))
     )
+    # a nonblank line may hold no word (a border of a comment), so twice as many lines are looked at; their words alone count
+    after = F.transform("_lines", lambda x, i: F.slice("_lines", i + 2, 2 * REACH))
+    ends = F.transform(after, lambda xs: F.array_position(F.transform(xs, lambda x: x.rlike(blank)), True))
+    joined = F.transform(F.arrays_zip(after.alias("xs"), ends.alias("end")), lambda z: F.array_join(F.when(z["end"] > 0, F.slice(z["xs"], 1, (z["end"] - 1).cast("int"))).otherwise(z["xs"]), " "))
+    rest = F.transform(joined, lambda x: F.regexp_extract(x, rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}.]+){{0,{REACH}}}", 0))
+    rows = (
+        lines.select("_row", "doc_id", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), rest.alias("rest"))).alias("paragraph", "_part"))
+        .where(F.length(F.trim("_part.line")) > 0)
+        .select("_row", "doc_id", "paragraph", F.explode(F.array(
+            F.struct(F.lit(False).alias("wrapped"), F.col("_part.line").alias("excerpt")),
+            F.struct((F.length("_part.rest") > 0).alias("wrapped"), F.when(F.length("_part.rest") > 0, F.concat_ws(" ", "_part.line", "_part.rest")).alias("excerpt")),
+        )).alias("_unit"))
+        .select("_row", "doc_id", "paragraph", "_unit.wrapped", "_unit.excerpt")
+        .where(F.col("excerpt").rlike(may))
+        .withColumn("_words", _words(F.col("excerpt")))
+    )
     none = F.array().cast("array<int>")
     grams = F.flatten(F.array(*(
         F.transform(F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(none), lambda i, n=n: F.array_join(F.slice("_words", i, n), " "))
@@ -135,7 +178,7 @@ def license_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # WIDTH rows of weights, whatever the corpus
     frame = pd.DataFrame(w[:WIDTH].astype(float), columns=[f"w{c}" for c in range(len(names))])
     weights = docs.sparkSession.createDataFrame(frame.reset_index(names="_cell").astype({"_cell": "int32"}))
-    key = ["_row", "doc_id", "paragraph", "excerpt", "_words"]
+    key = ["_row", "doc_id", "paragraph", "wrapped", "excerpt", "_words"]
     summed = (
         rows.select(*key, F.explode(cells).alias("_cell")).join(F.broadcast(weights), "_cell")
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(f"w{c}").alias(f"w{c}") for c in range(len(names))))
@@ -149,11 +192,19 @@ def license_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         label = F.when(z[c] == F.col("_top"), names[c]).otherwise(label)
     total = sum((F.exp(x - F.col("_top")) for x in z), F.lit(0.0))
     found = (
-        top.select("doc_id", "paragraph", "excerpt", "_words", label.alias("family"), (1 / total).alias("probability"))
+        top.select("_row", "doc_id", "paragraph", "wrapped", "excerpt", "_words", label.alias("family"), (1 / total).alias("probability"))
         .where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     )
     said = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     confirmed = F.lit(False)
     for name, phrases in FAMILIES.items():
         confirmed = confirmed | ((F.col("family") == name) & said.rlike("|".join(" " + p.replace(".", "[.]") + " " for p in phrases)))
-    return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), confirmed.alias("confirmed"), "excerpt")
+    found = written(found.select("_row", "doc_id", "paragraph", "wrapped", "family", "probability", confirmed.alias("confirmed"), "excerpt"), "licences")
+    # findings of a family in lines that follow each other are one notice: its single lines, or its wrapped start if only that is confirmed
+    of = Window.partitionBy("_row", "family")
+    run = Window.partitionBy("_row", "family", "_run")
+    best = run.orderBy(F.desc("confirmed"), "wrapped", F.desc("probability"), "paragraph")
+    found = found.withColumn("_run", F.col("paragraph") - F.dense_rank().over(of.orderBy("paragraph")))
+    found = found.withColumn("_best", F.row_number().over(best)).withColumn("_by", F.first("wrapped").over(best))
+    found = found.where((F.col("_best") == 1) | (~F.col("wrapped") & ~F.col("_by")))
+    return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), "confirmed", "excerpt")
