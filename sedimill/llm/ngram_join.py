@@ -4,16 +4,24 @@ A document is the set of its distinct k-word shingles. Sizes fall into bands; ea
 band's scheme deals the shingle universe into m segments by hash. Two sets that
 meet the threshold differ in at most H shingles, so of m = H + 1 + spare segments
 (or, with one-deletion neighbourhoods, H // 2 + 1 + spare) at least 1 + spare agree
-(to within one deletion). Segment subsets are indexed by a 64-bit key, sets sharing
-a key are candidates, and candidates are verified exactly on their shingles.
-
-Large groups don't produce all pairs. Sets sharing a key are first verified against
-one leader each (a star); then only keys that still join different components count.
-Shingles that no other open set has bound what a set can share; sets (and pairs) that
-the bound rules out are set aside, the rest are verified against each key's most
-central set, and only the cross-component pairs still left are verified. A key that is still crowded then
-is passed over for sets with at most ``spare`` such keys, as any partner shares
-another key with them; the few sets beyond that are verified against each other.
+(to within one deletion); the spare ones make up for segments that are empty in a
+set. The cheaper allocation by rows and expected verified pairs is taken. Segment
+subsets are indexed by a 64-bit key, sets sharing a key are candidates, and
+candidates are verified exactly on their shingles.
+
+Sets that share a key are verified against the key's leader only (the set with the
+most candidates over all its keys, so mostly one leader for a group of near copies),
+as many pairs as the index has rows at most. What a set x differs from its leader p in,
+D(x) = x - p and p - x, decides about the pairs not verified. With both sets linked to
+p nothing is left to find out. Else |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a link
+needs at least (|D(x)| + |D(y)| - H) / 2 >= 1 common members of D, and by the prefix
+argument one of them lies in the first |D(x)| - least overlap + 1 members of either in
+a fixed order (additions first, as they are rare). Pairs are formed at common
+prefix members of sets in different components, if their place leaves room for the overlap
+that is needed, and are verified exactly. No group's pairs are listed, however large it is.
+
+Sets are named by 64 bits and checked by 64 more. Names that several sets share (found
+by one aggregation) are told apart by their checks before anything else is done.
 
 Defined results: a null or blank text has an empty set and no link; a text of fewer
 than k words is one shingle; equal sets (repeated rows, equal texts) are linked; an
@@ -41,15 +49,11 @@ from .textnp import U64, blocks, flat, mix, shingles, tuned
 
 #: Each band's largest size over its smallest.
 BAND = 1.4
-#: Spare segments as a share of H; they make up for empty segments and for crowded keys.
-SPARE = 0.12
-#: A key that still joins this many sets of several components is crowded.
-CROWD = 48
-#: Keys of a set that its rows carry along, at most.
-LISTED = 256
-#: Rounds of setting aside sets that can't have a partner among the open ones.
-PEELS = 2
-_SEG = U64(0xA0761D6478BD642F)
+#: Index rows that are as dear as verifying a pair.
+VERIFY = 50
+#: Names that several sets share, at most: of 5e10 sets some 70 do so by chance.
+SHARED = 100_000
+_SEG, _CHECK = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
 @dataclass(frozen=True)
@@ -66,22 +70,36 @@ def differ_at_most(total: int, num: int, den: int) -> int:
     return total * (den - num) // (den + num)
 
 
-@lru_cache(maxsize=None)
-def scheme(high: int, num: int, den: int) -> Scheme:
-    """The cheaper allocation for sets of up to ``high`` members: exact subsets, or fewer
-    and larger segments with their one-deletion neighbourhoods. The cost is the index
-    rows plus the chance matches that small subsets bring."""
+def _spare(m: int, deletions: int, least: float) -> int:
+    """Segments of a set of ``least`` members that hold no more than ``deletions`` of them, nearly always at most."""
+    per = least / m
+    dead = m * float(np.exp(-per)) * (1 + deletions * per)
+    return max(1, int(np.ceil(dead + 3 * np.sqrt(dead))))
+
+
+def costs(high: int, num: int, den: int, near: float) -> list[tuple[float, Scheme]]:
+    """Both allocations for sets of up to ``high`` members, with the cost of a set: its index rows,
+    and the chance that a set of three quarters of the threshold's similarity shares a key, for ``near`` such sets."""
     h = differ_at_most(2 * high, num, den)
-    best = None
+    similar = 0.75 * num / den
+    differ = 2 * high * (1 - similar) / (1 + similar)
+    out = []
     for deletions in (0, 1) if h else (0,):
-        spare = max(1, round(SPARE * h)) if h else 0
-        m = h // (deletions + 1) + 1 + spare
-        per = 0.85 * high / m
+        m = h // (deletions + 1) + 1
+        spare = _spare(m, deletions, high / BAND * num / den) if h else 0
+        m += spare
+        per = high / m
         rows = m * (1 + deletions * per)
-        cost = rows * (1 + 64 * float(np.exp(-per + deletions)))
-        if best is None or cost < best[0]:
-            best = (cost, Scheme(m, deletions, spare))
-    return best[1]
+        agree = float(np.exp(-differ / m)) * (1 + deletions * differ / m)
+        chance = 1 - (1 - min(agree, 1.0)) ** m
+        out.append((rows + VERIFY * near * chance, Scheme(m, deletions, spare)))
+    return out
+
+
+@lru_cache(maxsize=None)
+def scheme(high: int, num: int, den: int, near: float = 1.0) -> Scheme:
+    """The cheaper allocation: exact segment subsets, or fewer and larger segments with their one-deletion neighbourhoods."""
+    return min(costs(high, num, den, near), key=lambda c: c[0])[1]
 
 
 @lru_cache(maxsize=None)
@@ -98,17 +116,22 @@ def band_of(size) -> np.ndarray:
     return np.searchsorted(_edges(), size, "right") - 1
 
 
-def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each set, the same for equal sets."""
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ _SEG))])
-    return mix(total[at[1:]] - total[at[:-1]] + (at[1:] - at[:-1]).astype(U64) * _SEG).view(np.int64)
+def set_ids(h: np.ndarray, at: np.ndarray, apart: frozenset = frozenset(), bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name and a 64-bit check of each set, the same for equal sets. Names in ``apart`` are changed by the check."""
+    n = (at[1:] - at[:-1]).astype(U64) * _SEG
+    both = []
+    for salt in (_SEG, _CHECK):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ salt))])
+        both.append(mix(total[at[1:]] - total[at[:-1]] + n))
+    ids, checks = both[0] >> U64(64 - bits), both[1]
+    if apart:
+        again = np.isin(ids.view(np.int64), np.array(sorted(apart), np.int64))
+        ids[again] = mix(ids[again] * _SEG + checks[again])
+    return ids.view(np.int64), checks.view(np.int64)
 
 
-def keys_of(h: np.ndarray, at: np.ndarray, num: int, den: int):
-    """Index keys of all sets in a block: row of the set, key, tag (scheme and unused spare).
-
-    tag = band * 4096 + spare left, that is, how many crowded keys the set may pass over.
-    """
+def keys_of(h: np.ndarray, at: np.ndarray, num: int, den: int, near: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of all sets in a block: row of the set, and key."""
     size = np.diff(at)
     own = band_of(np.maximum(size, 1))
     top = band_of(np.maximum(size * den // num, 1))
@@ -119,7 +142,7 @@ def keys_of(h: np.ndarray, at: np.ndarray, num: int, den: int):
         pick = np.flatnonzero((size > 0) & (own <= b) & (b <= top))
         if not len(pick):
             continue
-        s = scheme(int(edges[b + 1] - 1), num, den)
+        s = scheme(int(edges[b + 1] - 1), num, den, near)
         n = size[pick]
         which = np.repeat(np.arange(len(pick)), n)
         member = np.arange(n.sum()) + np.repeat(at[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
@@ -128,43 +151,39 @@ def keys_of(h: np.ndarray, at: np.ndarray, num: int, den: int):
         total, filled = np.zeros(cells, U64), np.bincount(seg, minlength=cells)
         np.add.at(total, seg, token[member])
         name = mix((np.arange(cells) % s.segments).astype(U64) * _SEG + U64(b + 1))
-        dead = (filled <= s.deletions).reshape(len(pick), s.segments).sum(1)
-        left = np.clip(s.spare - dead, -1, 4094)
-        row = np.repeat(pick, s.segments)
-        # an empty subset is indexed only for sets that have more of them than the scheme can spare
-        use = (filled > 0) | (left < 0).repeat(s.segments)
-        key = mix(total ^ name)
-        parts = [(row[use], key[use], np.repeat(left, s.segments)[use])]
+        # subsets that are empty (after a deletion) are indexed only for sets that have more of them than the scheme can spare
+        many = (filled <= s.deletions).reshape(len(pick), s.segments).sum(1) > s.spare
+        use = (filled > 0) | many.repeat(s.segments)
+        out.append((np.repeat(pick, s.segments)[use], mix(total ^ name)[use].view(np.int64)))
         if s.deletions:
-            rest = filled[seg] > 1
-            rest |= (left < 0)[which]
-            parts.append((pick[which[rest]], mix((total[seg] - token[member])[rest] ^ name[seg[rest]]), left[which[rest]]))
-        for r, k, x in parts:
-            out.append((r, k.view(np.int64), (b * 4096 + 1 + x).astype(np.int32)))
+            rest = (filled[seg] > 1) | many[which]
+            out.append((pick[which[rest]], mix((total[seg] - token[member])[rest] ^ name[seg[rest]]).view(np.int64)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, keys = zip(*out, strict=True)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
-def document_sets(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id (0 for an empty set)."""
+def document_sets(docs: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id", apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, set_id (0 for an empty set), check."""
 
     def run(batches):
         for batch in batches:
             data, at = flat(batch.column(1))
-            n, ids = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+            n, ids, checks = (np.zeros(len(at) - 1, np.int64) for _ in range(3))
             for a, b, piece, cut in blocks(data, at):
                 h, own = shingles(piece, cut, k)
-                n[a:b], ids[a:b] = np.diff(own), set_ids(h, own)
-            ids[n == 0] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids)], ["doc_id", "n_shingles", "set_id"])
+                n[a:b] = np.diff(own)
+                ids[a:b], checks[a:b] = set_ids(h, own, apart, bits)
+            ids[n == 0] = checks[n == 0] = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids), pa.array(checks)], ["doc_id", "n_shingles", "set_id", "check"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, check long")
 
 
-def index_rows(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
-    """The index: key, set_id, tag. Copies of a set in one task are indexed once."""
+def index_rows(docs: DataFrame, k: int, num: int, den: int, text: str = "text", near: float = 1.0, apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
+    """The index: key, set_id. Copies of a set in one task are indexed once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -172,7 +191,7 @@ def index_rows(docs: DataFrame, k: int, num: int, den: int, text: str = "text")
             data, at = flat(batch.column(0))
             for _, _, piece, cut in blocks(data, at):
                 h, own = shingles(piece, cut, k)
-                ids = set_ids(h, own)
+                ids, _ = set_ids(h, own, apart, bits)
                 fresh = np.zeros(len(ids), bool)
                 for i, x in enumerate(ids.tolist()):
                     if own[i + 1] > own[i] and x not in seen:
@@ -181,15 +200,13 @@ def index_rows(docs: DataFrame, k: int, num: int, den: int, text: str = "text")
                 if not fresh.any():
                     continue
                 size = np.diff(own)
-                h = h[np.repeat(fresh, size)]
-                own = np.concatenate([[0], np.cumsum(size[fresh])])
-                row, key, tag = keys_of(h, own, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[fresh][row]), pa.array(tag)], ["key", "set_id", "tag"])
+                row, key = keys_of(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), num, den, near)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[fresh][row])], ["key", "set_id"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, set_id long, tag int")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, set_id long")
 
 
-def packed_texts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
+def packed_texts(docs: DataFrame, k: int, text: str = "text", apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
     """set_id and a compressed text that has this set; copies in one task come once."""
 
     def run(batches):
@@ -200,7 +217,7 @@ def packed_texts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             ids, packed = [], []
             for _, _, piece, cut in blocks(data, at):
                 h, own = shingles(piece, cut, k)
-                for i, x in enumerate(set_ids(h, own).tolist()):
+                for i, x in enumerate(set_ids(h, own, apart, bits)[0].tolist()):
                     if own[i + 1] > own[i] and x not in seen:
                         seen.add(x)
                         ids.append(x)
@@ -210,168 +227,168 @@ def packed_texts(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "set_id long, packed binary")
 
 
+def _opened(batches, k: int):
+    """Batches of pairs with both sides' sets: (batch, [(set of a, set of b)])."""
+    unpack = zstandard.ZstdDecompressor()
+    kept: dict[int, np.ndarray] = {}
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            todo: dict[int, bytes] = {}
+            for side, ids in ((2, a), (3, b)):
+                for i, x in enumerate(ids):
+                    if x not in kept and x not in todo:
+                        todo[x] = unpack.decompress(batch.column(side)[i].as_py())
+            names = list(todo)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in todo.values()], dtype=np.int64)])
+            data = np.frombuffer(b"".join(todo.values()), np.uint8)
+            for f, e, piece, cut in blocks(data, at):
+                h, own = shingles(piece, cut, k)
+                kept.update((names[i], h[own[i - f] : own[i - f + 1]].copy()) for i in range(f, e))
+            yield batch, [(kept[x], kept[y]) for x, y in zip(a, b, strict=True)]
+            if sum(map(len, kept.values())) > 4_000_000:
+                kept.clear()
+
+
 def _linked(k: int, num: int, den: int):
     """Keeps the pairs that meet the threshold: den * intersection >= num * union."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        kept: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch, sets in _opened(batches, k):
             good = []
-            for lo in range(0, len(a), 256):
-                todo: dict[int, bytes] = {}
-                for side, ids in ((2, a), (3, b)):
-                    for i in range(lo, min(lo + 256, len(a))):
-                        if ids[i] not in kept and ids[i] not in todo:
-                            todo[ids[i]] = unpack.decompress(batch.column(side)[i].as_py())
-                names = list(todo)
-                at = np.concatenate([[0], np.cumsum([len(x) for x in todo.values()], dtype=np.int64)])
-                data = np.frombuffer(b"".join(todo.values()), np.uint8)
-                for f, e, piece, cut in blocks(data, at):
-                    h, own = shingles(piece, cut, k)
-                    kept.update((names[i], h[own[i - f] : own[i - f + 1]].copy()) for i in range(f, e))
-                for i in range(lo, min(lo + 256, len(a))):
-                    x, y = kept[a[i]], kept[b[i]]
-                    total = len(x) + len(y)
-                    both = 0
-                    if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                        both = total - len(np.unique(np.concatenate([x, y])))
-                    good.append(den * both >= num * (total - both))
-                if sum(map(len, kept.values())) > 4_000_000:
-                    kept.clear()
+            for x, y in sets:
+                total, both = len(x) + len(y), 0
+                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
+                    both = total - len(np.unique(np.concatenate([x, y])))
+                good.append(den * both >= num * (total - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets meet the threshold, one text of each fetched by a join."""
-    left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("left"))
-    right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_linked(k, num, den), "a long, b long")
-
-
-def _members(k: int):
-    """Rows of a set's shingles."""
+def _parted(k: int, num: int, den: int):
+    """What sets a differ from their leaders b in: a, b, near (linked), n (members of a), added, gone, prefix (of added, then gone)."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                raw = [unpack.decompress(x.as_py()) for x in part.column(1)]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
-                h, own = shingles(np.frombuffer(b"".join(raw), np.uint8), at, k)
-                n = np.diff(own)
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(h.view(np.int64))], ["set_id", "n", "shingle"])
+        for batch, sets in _opened(batches, k):
+            rows = []
+            for x, p in sets:
+                added, gone = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                n, m, d = len(x), len(p), len(added) + len(gone)
+                near = (den + num) * d <= (den - num) * (n + m)
+                if near:  # a partner is not linked to the leader, so it is further from it
+                    least = -((-(d * (den + num) + (den - num) * (m - n))) // (2 * (den + num)))
+                else:
+                    least = d - n * (den - num) // num
+                own = np.concatenate([added, gone])[: max(0, d - max(1, least) + 1)]
+                rows.append((near, n, len(added), len(gone), (own >> U64(32)).astype(np.uint32).view(np.int32)))
+            near, n, added, gone, own = zip(*rows, strict=True)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            prefix = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(own), pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(near), *(pa.array(c, pa.int32()) for c in (n, added, gone)), prefix],
+                ["a", "b", "near", "n", "added", "gone", "prefix"],
+            )
 
     return run
 
 
-def _open_rows(index: DataFrame, parts: DataFrame, *extra: str) -> DataFrame:
-    """Index rows of the keys that join several components: key, set_id, tag, part, crowd (rows of the key)."""
-    named = index.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
-    keys = (
-        named.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("crowd"))
-        .where("p0 != p1").select("key", "crowd")
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids with one text of each, fetched by a join."""
+    left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("left"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("right"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
+
+def led(index: DataFrame) -> DataFrame:
+    """(a, b): each set of an index of shared keys (key, set_id, crowd) and the leaders of its keys."""
+    weight = index.groupBy("set_id").agg(F.sum("crowd").alias("weight"))
+    best = F.max(F.struct("weight", "set_id")).over(Window.partitionBy("key"))["set_id"]
+    return index.join(weight, "set_id").select(F.col("set_id").alias("a"), best.alias("b")).where("a != b").distinct()
+
+
+def _pairs(stars: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of sets in different components that may be linked though neither leads the other."""
+    part = parts.select(F.col("node").alias("a"), F.col("component").alias("pa"))
+    lead = parts.select(F.col("node").alias("b"), F.col("component").alias("pb"))
+    rows = (
+        stars.join(part, "a", "left").join(lead, "b", "left")
+        .select("a", "b", "n", "added", "gone", "prefix", F.coalesce("pa", "a").alias("part"), (F.coalesce("pa", "a") != F.coalesce("pb", "b")).alias("outside"))
+        .select("a", "n", "added", "gone", "part", "outside", "b", F.posexplode("prefix").alias("place", "member"))
+        .withColumn("key", F.xxhash64("b", "member")).drop("b", "member")
+    )
+    of = Window.partitionBy("key")
+    rows = written(
+        rows.withColumn("_out", F.max("outside").over(of)).withColumn("_low", F.min("part").over(of)).withColumn("_high", F.max("part").over(of))
+        .where("_out AND _low != _high").drop("_out", "_low", "_high"),
+        "prefixes",
     )
-    return written(named.join(keys, "key").select("key", "set_id", "tag", "part", "crowd", *extra), "open")
+    x = rows.where("outside").select("key", *(F.col(c).alias(f"{c}_x") for c in ("a", "n", "added", "gone", "part", "place")))
+    y = rows.select("key", *(F.col(c).alias(f"{c}_y") for c in ("a", "n", "added", "gone", "part", "place", "outside")))
+    col = F.col
+    total = col("added_x") + col("gone_x") + col("added_y") + col("gone_y")
+    most = F.floor((col("n_x") + col("n_y")) * F.lit(den - num) / F.lit(den + num))
+    # members of D in common at most, if this one is the first of them
+    room = F.when(
+        col("place_x") < col("added_x"),
+        F.least(col("added_x") - col("place_x"), col("added_y") - col("place_y")) + F.least("gone_x", "gone_y"),
+    ).otherwise(F.least(col("added_x") + col("gone_x") - col("place_x"), col("added_y") + col("gone_y") - col("place_y")))
+    can = (
+        (col("part_x") != col("part_y")) & (~col("outside_y") | (col("a_x") < col("a_y")))
+        & (2 * room >= total - most) & (F.greatest("n_x", "n_y") * num <= F.least("n_x", "n_y") * den)
+    )
+    return x.join(y, (x["key"] == y["key"]) & can).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
 
 
-def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text") -> DataFrame:
+def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text", near: float = 1.0, apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
     """(node, component): the components of the distinct sets that have a partner."""
-    spark = docs.sparkSession
-    near = Window.partitionBy("key")
+    of = Window.partitionBy("key")
     index = written(
-        index_rows(docs, k, num, den, text)
-        .withColumn("least", F.min("set_id").over(near)).withColumn("most", F.max("set_id").over(near))
-        .where("least != most").select("key", "set_id", "tag", "least"),
+        index_rows(docs, k, num, den, text, near, apart, bits)
+        .withColumn("least", F.min("set_id").over(of)).withColumn("most", F.max("set_id").over(of)).withColumn("crowd", F.count(F.lit(1)).over(of))
+        .where("least != most").select("key", "set_id", "crowd"),
         "index",
     )
     # only sets with a candidate are fetched; of several copies of a set, one text
     wanted = index.select("set_id").distinct()
-    texts = written(packed_texts(docs, k, text).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
-    # each set against the leader with which it shares most keys
-    stars = (
-        index.where("least != set_id").groupBy("set_id", "least").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("set_id").agg(F.max_by("least", F.struct("n", "least")).alias("b")).select(F.col("set_id").alias("a"), "b")
-    )
-    links = written(verified(stars, texts, k, num, den), "links")
-    parts = written(connected_components(links, "a", "b"), "parts")
-    rows = _open_rows(index.select("key", "set_id", "tag").distinct(), parts)
-    # shingles that only one open set has can't be shared: they bound a set's overlap with any other
-    members = written(
-        texts.join(rows.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "packed").mapInArrow(_members(k), "set_id long, n int, shingle long"),
-        "members",
-    )
-    sizes = None
-    for _ in range(PEELS):
-        own = (
-            members.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.first("set_id").alias("set_id")).where("c = 1")
-            .groupBy("set_id").agg(F.count(F.lit(1)).alias("lone"))
-        )
-        sizes = written(
-            members.groupBy("set_id").agg(F.first("n").alias("n")).join(own, "set_id", "left")
-            .select("set_id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
-            .where(F.col("common") * den >= F.col("n") * num),  # else no partner can be found among the open sets
-            "sizes",
-        )
-        members = members.join(sizes.select("set_id"), "set_id", "left_semi")
-    # the sets nearest to a group's core are the better leaders; one more star around them
-    rows = _open_rows(rows.select("key", "set_id", "tag").join(sizes, "set_id"), parts, "n", "common")
-    core = rows.groupBy("key").agg(F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "set_id", "part")).alias("core"))
-    second = (
-        rows.join(core, "key").where("part != core.part").select(F.col("set_id").alias("a"), F.col("core.set_id").alias("b")).distinct()
-        .join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    )
-    second = written(second, "stars")
-    links = written(links.union(verified(second, texts, k, num, den)), "links")
-    parts = written(connected_components(links, "a", "b"), "parts")
-    rows = _open_rows(rows.drop("part", "crowd"), parts, "n", "common")
-    # sets with more crowded keys than their scheme can spare are compared on these keys too
-    beyond = (
-        rows.where(F.col("crowd") > CROWD).groupBy("set_id", "tag").agg(F.count(F.lit(1)).alias("crowded"))
-        .where(F.col("crowded") > F.col("tag") % 4096 - 1).select("set_id", "tag")
-    )
-    rare = rows.where(F.col("crowd") <= CROWD)
-    rest = rows.where(F.col("crowd") > CROWD).join(beyond, ["set_id", "tag"], "left_semi")
-    pairs = None
-    for some in (rare, rest):
-        keys = some.groupBy("set_id").agg(F.collect_set("key").alias("keys"))  # a set's own keys
-        some = some.join(keys.select("set_id", F.when(F.size("keys") <= LISTED, F.col("keys")).alias("keys")), "set_id")
-        x = some.select("key", F.col("set_id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("keys").alias("ka"))
-        y = some.select("key", F.col("set_id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("keys").alias("kb"))
-        # the overlap is at most the smaller common part
-        can = F.least("ca", "cb") * (den + num) >= (F.col("na") + F.col("nb")) * num
-        # a pair that shares several keys is formed at the smallest of them only (sets of very many keys don't carry the list)
-        first = F.coalesce(F.array_min(F.array_intersect("ka", "kb")) == x["key"], F.lit(True))
-        got = x.join(y, (x["key"] == y["key"]) & (F.col("pa") < F.col("pb")) & can & first).select("a", "b").distinct()
-        pairs = got if pairs is None else pairs.union(got)
-    tried = stars.union(second)
-    tried = tried.union(tried.select("b", "a"))
-    more = written(verified(pairs.distinct().join(tried, ["a", "b"], "left_anti"), texts, k, num, den), "links")
-    if not more.isEmpty():
-        parts = written(connected_components(links.union(more), "a", "b"), "parts")
-    return parts
-
-
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    texts = written(packed_texts(docs, k, text, apart, bits).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
+    stars = _with_texts(led(index), texts).mapInArrow(_parted(k, num, den), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>")
+    stars = written(stars, "stars")
+    parts = written(connected_components(stars.where("near").select("a", "b"), "a", "b"), "parts")
+    more = _with_texts(_pairs(stars, parts, num, den), texts).mapInArrow(_linked(k, num, den), "a long, b long")
+    more = written(more, "links")
+    if more.isEmpty():
+        return parts
+    return written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "parts")
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", near: float = 1.0, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Two documents link when den * |intersection| >= num * |union| of their k-word
-    shingles. See the module's text for defined results.
+    shingles. ``near`` is how many sets of three quarters of that similarity a set is
+    expected to have; many of them make one-deletion neighbourhoods the cheaper
+    index. ``bits`` of a set's name are used at first. See the module's text for defined results.
     """
     tuned(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
-    sets = document_sets(docs, k, text, doc_id)
-    parts = linked_sets(docs, k, num, den, text)
-    sets = sets.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left")
-    sets = written(sets.withColumn("part", F.coalesce("component", "set_id")).select("doc_id", "n_shingles", "part"), "sets")
-    least = sets.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
-    # a part with one member needs no join, so a large group is the only one that can be large here; it is split by AQE
-    return (
-        sets.join(least.where("members > 1"), "part", "left")
-        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("least")), F.col("doc_id")).cast(kind).alias("component_id"))
-    )
+    apart: frozenset = frozenset()
+    while True:
+        sets = written(document_sets(docs, k, text, doc_id, apart, bits), "sets")
+        own = written(
+            sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), (F.min("check") != F.max("check")).alias("several")),
+            "own",
+        )
+        shared = own.where("several").select("set_id").limit(SHARED + 1).collect()  # of 5e10 sets, some 70
+        if len(shared) > SHARED:
+            raise RuntimeError("too many sets share a name")
+        if not shared:
+            break
+        apart = apart | {r["set_id"] for r in shared}
+    parts = linked_sets(docs, k, num, den, text, near, apart, bits)
+    named = own.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
+    first = named.where("component IS NOT NULL").groupBy("part").agg(F.min("least").alias("reached"))
+    # sets of one document need no join; equal sets and linked ones get the smallest id of all
+    groups = named.where("component IS NOT NULL OR copies > 1").join(first, "part", "left").select("set_id", F.coalesce("reached", "least").alias("reached"))
+    return sets.join(groups, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").cast(kind).alias("component_id"))
