@@ -31,12 +31,15 @@ WINDOW = 4096
 END = 2
 #: Distinct words whose ids a worker remembers, and the longest of them in bytes.
 CACHE, CACHED = 1_000_000, 64
+_MARKS = frozenset(b".,;:!?")
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 class WordIds:
-    """Token ids of whole texts. White space never joins words in this tokenizer, so words are looked up one by one.
+    """Token ids of whole texts. White space never joins words in this tokenizer, so words are looked up one by one, as they are written.
 
-    It lower-cases and splits letters from punctuation, so a word and one punctuation mark after it are looked up apart.
+    It splits letters and digits from punctuation after normalising, which changes neither an ASCII letter or digit
+    with a mark after it nor the mark, so such a word and the mark are looked up apart.
     """
 
     def __init__(self, path: str):
@@ -48,7 +51,7 @@ class WordIds:
     def _learn(self, new: list[bytes]) -> None:
         split, plain = [], dict.fromkeys(new)
         for w in new:
-            if w[-1:] in b".,;:!?" and len(w) > 1 and w[:-1].decode(errors="ignore")[-1:].isalnum() and b"<|" not in w:
+            if len(w) > 1 and w[-1] in _MARKS and w[-2] in _PLAIN:
                 split.append(w)
                 del plain[w]
                 for part in (w[:-1], w[-1:]):
@@ -63,8 +66,7 @@ class WordIds:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        # a special token's own name counts only as it is written
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [t.split() for t in texts]
         new = {w for ws in split for w in ws}.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
