@@ -9,7 +9,8 @@ Which documents of a length are taken is decided by a seeded hash.
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source
 is a source of its own, last in order; repeated rows are separate documents; an
 empty table gives an empty result. Only the per-source sums (one row per source)
-reach the driver. Columns starting with an underscore are reserved.
+reach the driver. Further columns are carried along whatever their names, but for
+source_size, target and repeats, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -93,11 +94,15 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
 def mixed(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", share: float = 1.5, weights: tuple = (3, 1, 2), most: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with source_size, target and repeats (how many times the mix takes the document).
 
-    ``docs`` must have the word count in column ``size`` and is read three times.
+    ``docs`` must have the word count in column ``size`` and is read four times.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("_skey", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("-")))
-    sums = {r["_skey"]: r["n"] for r in docs.groupBy("_skey").agg(F.sum(size).alias("n")).collect()}  # one row per source
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "repeats")]
+    docs = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row_of"), F.col(f"`{size}`").cast("long").alias("_words"), F.col(f"`{doc_id}`").alias("_id"),
+        F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("-")).alias("_skey"),
+    )
+    sums = {r["_skey"]: r["n"] for r in docs.groupBy("_skey").agg(F.coalesce(F.sum("_words"), F.lit(0)).alias("n")).collect()}  # one row per source
     plain = {(k[1:] if k[0] == "s" else None): v for k, v in sums.items()}
     rows = []
     for s, target in shared_targets(plain, share, weights, most).items():
@@ -105,16 +110,16 @@ def mixed(docs: DataFrame, source: str = "source", size: str = "size", doc_id: s
         whole = min(int(most), int(target / words)) if words else 0
         rows.append(("-" if s is None else "s" + s, int(words), float(target), whole, max(0, math.floor(target - whole * words + 0.5)) if whole < most else 0))
     plan = spark.createDataFrame(rows, "_skey string, source_size long, target double, _whole int, _budget long")
-    lengths = docs.where(F.col(size) > 0).groupBy("_skey", F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("_n"))
+    lengths = docs.where("_words > 0").groupBy("_skey", F.col("_words").alias("size")).agg(F.count(F.lit(1)).alias("_n"))
     take = lengths.join(plan.select("_skey", "_budget"), "_skey").groupBy("_skey").applyInPandas(_fit, "_skey string, size long, _take long")
-    key = F.xxhash64(F.lit(seed), F.col(doc_id))
-    docs = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)))
+    key = F.xxhash64(F.lit(seed), F.col("_id"))
+    docs = docs.withColumn("_size", F.coalesce("_words", F.lit(0)))
     facts = (
         docs.select("_skey", "_size").distinct()
         .join(take.select("_skey", F.col("size").alias("_size"), "_take"), ["_skey", "_size"], "left").join(plan.drop("_budget"), "_skey")
     )
-    out = ranked(docs, ["_skey", "_size"], [key, F.col(doc_id)], F.shiftright(key, 17), "_rank", facts=facts)
+    out = ranked(docs, ["_skey", "_size"], [key, F.col("_id")], F.shiftright(key, 17), "_rank", facts=facts)
     return (
         out.withColumn("repeats", F.when(F.col("_size") > 0, F.col("_whole") + (F.col("_rank") < F.coalesce("_take", F.lit(0))).cast("int")).otherwise(0))
-        .drop("_skey", "_size", "_rank", "_take", "_whole")
+        .select("_row_of.*", "source_size", "target", "repeats")
     )

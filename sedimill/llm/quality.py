@@ -176,7 +176,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         return boosted(np.zeros((0, N_FEATURES)), np.zeros(0))
     kind = dict(docs.dtypes)[doc_id]
     ids = spark.createDataFrame(picked[[doc_id]].drop_duplicates(), f"{doc_id} {kind}")
-    rows = docs.select(doc_id, text).join(F.broadcast(ids), doc_id)  # at most ``sample`` ids
+    # at most ``sample`` ids; of rows that repeat an id, the one with the least text
+    rows = docs.select(doc_id, text).join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(text).alias(text))
     found = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_features, f"doc_id {kind}, x array<float>").toPandas()
     found = found.merge(picked.rename(columns={doc_id: "doc_id"}), on="doc_id")
     if not len(found):
@@ -187,9 +188,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
 
 def scored(docs: DataFrame, trees: Trees, threshold: float = 0.7, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """All columns of ``docs`` with a score (0 to 1) and a prediction (1 if score >= threshold); give other names if ``docs`` has these."""
-    if {score, predicted} & set(docs.columns):
-        raise ValueError(f"the documents have a column {score} or {predicted}")
+    """All columns of ``docs`` with a score (0 to 1) and a prediction (1 if score >= threshold), which replace columns of these names."""
+    docs = docs.drop(score, predicted)
     tuned(docs.sparkSession)
     names = docs.columns
     at_text = names.index(text)
