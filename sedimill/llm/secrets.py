@@ -10,8 +10,10 @@ without a shuffle.
 
 Defined results: a null or empty text has no finding and stays as it is; a secret that
 occurs several times is found each time; an empty table gives an empty result; columns
-other than those named are carried along by ``redacted`` and ignored otherwise; names
-starting with an underscore are reserved; whole texts are read.
+other than those named are carried along by ``redacted`` whatever their names, and ignored
+otherwise; whole texts are read. A long mixed token is read from the beginning of its run
+of letters, digits and signs. Neighbouring words are the 32 characters before and the 24
+after a candidate: features of the model, not a limit on what is found.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ _ASSIGN = r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?"
 _VALUE = f"(?:{KNOWN}|[^\\s\"'<>,;]{{6,}})"
 ASSIGNED = _NAME + _ASSIGN + _VALUE
 _PREFIX = f"^{_NAME}{_ASSIGN}(?={_VALUE})"
-MIXED = r"\b(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: The look-behind spares a run without a digit further tries, which would fail as its first one does.
+MIXED = r"\b(?<![A-Za-z0-9][+/_-]{1,8})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 CANDIDATE = f"{KNOWN}|{ASSIGNED}|{MIXED}"
 #: Words that real secrets hardly contain, and words around a candidate that speak for or against it.
 DICTIONARY = "your|my|key|secret|token|password|passwd|pass|example|sample|test|dummy|changeme|change|placeholder|here|insert|value|user|name|admin|default|none|null|true|false|the|and|for|with|config|env|process|get|string|variable|id|api|access|auth|version|file|path|http|https|www|com|html|xxxx|0000|1234|abcd"
@@ -261,8 +264,12 @@ def secret_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def redacted(docs: DataFrame, text: str = "text", source: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret that was found replaced by ``mask``, wherever it stands in its text; a null text stays null."""
+    """``docs`` with every secret that was found replaced by ``mask`` in its place; a null text stays null."""
     names = docs.columns
-    found = with_findings(docs, text, source, name="_findings")
-    clean = F.aggregate("_findings", F.col(text), lambda t, f: F.replace(t, f["secret"], F.lit(mask)))
-    return found.withColumn(text, F.when(F.size("_findings") > 0, clean).otherwise(F.col(text))).select(*names)
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    found = with_findings(docs.select(row, F.col(f"`{text}`").alias("_text"), (F.col(f"`{source}`") if source else F.lit("")).alias("_source")), "_text", "_source", name="_findings")
+    # from the last to the first, so that the places before stay what they are
+    last = F.reverse(F.array_sort(F.transform("_findings", lambda f: F.struct(f["start"].alias("start"), f["length"].alias("length")))))
+    clean = F.aggregate(last, F.col("_text"), lambda t, f: F.concat(F.substring(t, F.lit(1), f["start"]), F.lit(mask), F.substring(t, f["start"] + f["length"] + 1, F.length(t))))
+    masked = F.when(F.size("_findings") > 0, clean).otherwise(F.col("_text"))
+    return found.select(*((masked if c == text else F.col(f"_row.`{c}`")).alias(c) for c in names))
