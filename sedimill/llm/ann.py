@@ -3,17 +3,20 @@
 The tree is fitted on the driver from a bounded sample (``sample`` vectors, picked by a
 hash of the id). A query walks it best bin first: a priority queue holds the branches
 by the inner product with their centres, and leaves are visited in that order. How many
-are visited is calibrated: queries of the sample are answered by brute force, and the
-visits are widened until ``recall`` of the true neighbours is reached. Every vector is
-indexed: leaves are grouped into buckets of about ``BUCKET`` vectors, a leaf that is
-larger (a vector with many copies) is dealt over several. Blocks of queries meet the
-buckets they visit in a join, and score exactly in double precision.
+are visited is calibrated at the table's own density: at most ``TRIALS`` queries are
+answered by brute force over all rows (one pass, a few rows a task go on), and the visits
+are widened until ``recall`` of the true neighbours is reached. A query goes on to further
+leaves until those visited hold enough vectors, so it gets k neighbours wherever there are
+as many. Every vector is indexed: leaves are grouped into buckets of about ``BUCKET``
+vectors, a leaf that is larger (a vector with many copies) is dealt over several. Blocks of
+queries meet the buckets they visit in a join; a block and a bucket are one matrix product,
+and the best are scored exactly in double precision.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, neither do rows without an id; rows with the
-query's own id are no candidates of it; a repeated query id asks once (its first vector
-in the order of its components), other repeated rows are separate candidates; ties go
-to the smaller id; an empty table gives an empty result; other columns are ignored.
+query's own id are no candidates of it; a repeated query id asks once (its first vector that
+takes part, in the order of its components), other repeated rows are separate candidates; ties
+go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from .textnp import tuned
 #: Vectors the tree is fitted on, at most; and queries it is calibrated with.
 SAMPLE, TRIALS = 16_384, 192
 BRANCH, LEAF = 8, 64
-#: Vectors in a bucket, and queries in a block.
-BUCKET, QUERIES = 4096, 256
+#: Vectors in a bucket, queries in a block, and visits that a task holds before it sends on what blocks it has.
+BUCKET, QUERIES, WAITING = 4096, 256, 100_000
 
 
 @dataclass(frozen=True)
@@ -107,25 +110,19 @@ def fitted(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, rounds: int =
     return Tree(np.array(centre), np.array(first), count_, np.where(count_ == 0, numbers, -1))
 
 
-def calibrated(tree: Tree, x: np.ndarray, k: int, recall: float, trials: int = TRIALS) -> int:
-    """The fewest leaf visits (widened by a tenth at a time) with which sample queries find ``recall`` of their neighbours."""
-    pick = np.linspace(0, len(x) - 1, min(trials, len(x))).astype(int)
-    home = tree.assign(x)
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return tree.leaves
-    order = []
-    for i in pick:
-        s = x @ x[i]
-        s[i] = -np.inf
-        best = np.argpartition(-s, k - 1)[:k]
+def calibrated(tree: Tree, asked: np.ndarray, homes: list[np.ndarray], recall: float) -> int:
+    """The fewest leaf visits (widened by a twentieth at a time) with which queries find ``recall`` of their neighbours, whose leaves are ``homes``."""
+    order = [np.zeros(0, np.int64)]
+    for q, home in zip(asked, homes, strict=True):
         rank = np.empty(tree.leaves, np.int64)
-        rank[tree.visits(x[i], tree.leaves)] = np.arange(tree.leaves)
-        order.append(rank[home[best]])
+        rank[tree.visits(q, tree.leaves)] = np.arange(tree.leaves)
+        order.append(rank[home])
     order = np.concatenate(order)
+    if not len(order):
+        return tree.leaves
     visits = 1
     while visits < tree.leaves and (order < visits).mean() < recall:
-        visits = min(tree.leaves, visits + max(1, visits // 10))
+        visits = min(tree.leaves, visits + max(1, visits // 20))
     return visits
 
 
@@ -143,21 +140,19 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows)[good], x[good]
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    s = x @ q
-    other = ids != own
-    if not other.all():
-        s, x, ids = s[other], x[other], ids[other]
-    if len(s) > k:
+def _best(q: np.ndarray, s: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and their exact scores. ``s``: the products as a matrix product gives them, -inf for what isn't visited."""
+    s = np.where(ids == own, -np.inf, s)
+    near = np.flatnonzero(s > -np.inf)
+    if len(near) > k:
         bar = np.partition(s, len(s) - k)[len(s) - k]
-        near = s >= bar - 1e-9 * max(1.0, abs(bar))
-        x, ids = x[near], ids[near]
-    exact = (x * q).sum(1)  # one order of summation for all, so that equal vectors tie
-    top = np.lexsort((ids, -exact))[:k]
-    return ids[top], exact[top]
+        near = np.flatnonzero(s >= bar - 1e-9 * max(1.0, abs(bar)))
+    exact = (x[near] * q).sum(1)  # one order of summation for all, so that equal vectors tie
+    top = np.lexsort((ids[near], -exact))[:k]
+    return ids[near][top], exact[top]
 
 
-def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97, sample: int = SAMPLE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, sample: int = SAMPLE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found. ``queries``: a condition on ``vec_id``."""
     spark = frame.sparkSession
     tuned(spark)
@@ -176,7 +171,6 @@ def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97
     if not len(x):
         return spark.createDataFrame([], schema)
     tree = fitted(x)
-    visits = calibrated(tree, x, k, recall)
 
     def indexed(batches):
         for batch in batches:
@@ -184,7 +178,36 @@ def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(y).astype(np.int32)), batch.column(0).take(pa.array(own)), pa.array([r.tobytes() for r in y], pa.binary())], ["leaf", "vec_id", "v"])
 
     index = written(rows.mapInArrow(indexed, "leaf int, vec_id long, v binary"), "vectors")
-    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``sample`` leaves
+    trials = asks.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").limit(TRIALS).toPandas()
+    own, tried = _matrix(pa.array(trials["v"].tolist(), pa.list_(pa.float64())), width)
+    tried_ids = trials["vec_id"].to_numpy()[own]
+
+    def answered_in_full(batches):
+        # the best of a task's vectors for each trial
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))] * len(tried)
+        for batch in batches:
+            if not batch.num_rows or not len(tried):
+                continue
+            y = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, width)
+            leaf, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            near = tried @ y.T
+            for t in range(len(tried)):
+                score = np.where(ids == tried_ids[t], -np.inf, near[t])
+                top = np.argpartition(-score, k)[:k] if len(score) > k else np.arange(len(score))
+                i, s, h = (np.concatenate(c) for c in zip(held[t], (ids[top], score[top], leaf[top]), strict=True))
+                best = np.lexsort((i, -s))[:k]
+                held[t] = i[best], s[best], h[best]
+        for t, (i, s, h) in enumerate(held):
+            good = np.isfinite(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(good.sum(), t, np.int32)), pa.array(i[good]), pa.array(s[good]), pa.array(h[good])], ["trial", "vec_id", "score", "leaf"])
+
+    full = index.mapInArrow(answered_in_full, "trial int, vec_id long, score double, leaf int")
+    full = full.withColumn("_nth", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id"))).where(F.col("_nth") <= k)
+    true = full.select("trial", "leaf").toPandas()  # at most TRIALS * k rows
+    visits = calibrated(tree, tried, [true["leaf"].to_numpy()[true["trial"].to_numpy() == t] for t in range(len(tried))], recall)
+    # at most ``sample`` leaves
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held_by = np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
     start, parts, total, room = np.zeros(tree.leaves, np.int32), np.ones(tree.leaves, np.int32), 0, 0
     for leaf in range(tree.leaves):  # neighbouring leaves share a bucket; a large leaf has several
         n = sizes.get(leaf, 0)
@@ -198,14 +221,17 @@ def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97
             start[leaf] = total
             room += n
 
+    most_copies = index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0  # rows of one id at most
+
     def bucketed(batches):
         for batch in batches:
-            leaf, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            salt = (ids * -7046029254386353131 >> 33) % parts[leaf]
+            leaf = batch.column(0).to_numpy()
+            salt = np.arange(len(leaf)) % parts[leaf]  # any vector of a large leaf may lie in any of its buckets
             yield pa.RecordBatch.from_arrays([pa.array((start[leaf] + salt).astype(np.int32)), *batch.columns], ["bucket", "leaf", "vec_id", "v"])
 
     def asked(batches):
         held: dict[int, list] = {}
+        waiting = 0
 
         def block(b):
             qs = held.pop(b)
@@ -219,6 +245,9 @@ def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97
             ids = batch.column(0).to_numpy()
             for i, v in zip(ids[own].tolist(), y, strict=True):
                 way = tree.visits(v, visits)
+                if held_by[way].sum() <= k + most_copies and len(way) < tree.leaves:  # go on until there are enough besides the query's own rows
+                    way = tree.visits(v, tree.leaves)
+                    way = way[: max(visits, int(np.searchsorted(np.cumsum(held_by[way]), k + most_copies, "right")) + 1)]
                 goal = np.concatenate([np.arange(start[w], start[w] + parts[w]) for w in way])
                 leaf = np.repeat(way, parts[way]).astype(np.int32)
                 by = np.argsort(goal, kind="stable")
@@ -226,8 +255,14 @@ def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97
                 cuts = np.flatnonzero(np.diff(goal)) + 1
                 for b, ls in zip(goal[np.concatenate([[0], cuts])].tolist(), np.split(leaf, cuts), strict=True):
                     held.setdefault(b, []).append((i, v, ls))
+                    waiting += 1
                     if len(held[b]) >= QUERIES:
+                        waiting -= QUERIES
+                        yield block(b)
+                if waiting > WAITING:
+                    for b in list(held):
                         yield block(b)
+                    waiting = 0
         for b in list(held):
             yield block(b)
 
@@ -257,28 +292,25 @@ def nearest(frame: DataFrame, queries: Column, k: int = 20, recall: float = 0.97
             yield row()
 
     def answered(batches):
-        last, leaf, ids, y = None, None, None, None
         for batch in batches:
             out: list[tuple] = []
             for r in range(batch.num_rows):
-                key = (batch.column(0)[r].as_py(), batch.column(5)[r].as_py()[:64])
-                if key != last:
-                    last = key
-                    leaf, ids = np.frombuffer(batch.column(4)[r].as_py(), "<i4"), np.frombuffer(batch.column(5)[r].as_py(), "<i8")
-                    y = np.frombuffer(batch.column(6)[r].as_py(), np.float64).reshape(-1, width)
+                leaf, ids = np.frombuffer(batch.column(4)[r].as_py(), "<i4"), np.frombuffer(batch.column(5)[r].as_py(), "<i8")
+                y = np.frombuffer(batch.column(6)[r].as_py(), np.float64).reshape(-1, width)
                 qs = np.frombuffer(batch.column(2)[r].as_py(), np.float64).reshape(-1, width)
-                for q, own, way in zip(qs, batch.column(1)[r].as_py(), batch.column(3)[r].as_py(), strict=True):
+                near = qs @ y.T
+                for q, s, own, way in zip(qs, near, batch.column(1)[r].as_py(), batch.column(3)[r].as_py(), strict=True):
                     use = np.zeros(tree.leaves, bool)
                     use[np.frombuffer(way, np.int32)] = True
-                    use = use[leaf]
-                    every = use.all()
-                    got, score = _best(q, y if every else y[use], ids if every else ids[use], own, k)
+                    got, score = _best(q, np.where(use[leaf], s, -np.inf), y, ids, own, k)
                     out += zip([own] * len(got), got.tolist(), score.tolist(), strict=True)
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
 
     buckets = index.mapInArrow(bucketed, "bucket int, leaf int, vec_id long, v binary").repartition("bucket").sortWithinPartitions("bucket")
     buckets = written(buckets.mapInArrow(packed, "bucket int, leaf binary, ids binary, v binary"), "buckets")
+    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    asks = asks.where((F.size("v") == width) & finite & F.exists("v", lambda c: c != 0))
     blocks = asks.groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(asked, "bucket int, ids array<long>, q binary, leaves array<binary>")
     joined = blocks.join(buckets.withColumnsRenamed({"leaf": "leaf_of", "ids": "vec_ids"}), "bucket").select("bucket", "ids", "q", "leaves", "leaf_of", "vec_ids", "v")
     found = joined.mapInArrow(answered, "query_id long, vec_id long, score double")

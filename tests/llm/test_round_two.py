@@ -61,3 +61,25 @@ def test_stages_keep_repeated_and_missing_ids_apart(spark, tmp_path):
     for name, stage in cp.STAGES:
         assert stage(spark, none, str(tmp_path)).collect() == [], name
     cp.quality(spark, docs, str(tmp_path)).collect()
+
+
+def test_nearest_beyond_the_sample(spark):
+    """Recall for vectors the tree wasn't fitted on, and queries with repeated ids or many copies."""
+    from pyspark.sql import functions as F
+
+    from sedimill.llm import ann
+
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in frame.collect()]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    found: dict = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, sample=400).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in found:
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hits += len(found[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert len(found) == int((ids % 20 == 0).sum()) and hits / (20 * len(found)) >= 0.9
+    odd = [(0, [None, 1.0]), (0, [1.0, 1.0]), *((i, [1.0, float(i % 7)]) for i in range(1, 200)), *((400 + i, [5.0, 5.0]) for i in range(60))]
+    got = ann.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=50, recall=0.01).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 51))
