@@ -11,8 +11,10 @@ across documents Spark compares them, and whatever is unique drops out, in two r
 * length ``threshold``, at each position of the windows whose anchor repeats in other
   surroundings; one copy of each repeated surroundings takes part for comparison.
 
-Ranks are 64-bit names of their content rather than ordinals: only equality is asked
-for, and names need no global numbering. A group of equal ranks is never gathered:
+Ranks are names of their content rather than ordinals: only equality is asked for, and
+names need no global numbering. Surroundings have 128 bits (rank and name), strings of
+``threshold`` bytes 96, of two independent functions: of 1e13 strings, two different ones
+fall together with a chance of less than 0.001. A group of equal ranks is never gathered:
 Spark counts it (with map-side combination) and reports only the members of groups
 of one. Rows are names and positions; texts move once for each round, compressed.
 
@@ -43,6 +45,8 @@ SEED = 64
 BLOCK = 400_000
 _LOW = (1 << 24) - 1
 _MULT = U64(0xC2B2AE3D27D4EB4F)
+#: Another function of a string, for the further 32 bits of its name.
+_MORE, _MORE_CODES = U64(0x8CB92BA72F3D8DD7), mix(BYTE_CODES)
 
 
 def identity(text: bytes) -> tuple[int, int]:
@@ -52,17 +56,17 @@ def identity(text: bytes) -> tuple[int, int]:
     return uid - (1 << 64) if uid >> 63 else uid, x & _LOW
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _MULT + b
+def _pair(a: np.ndarray, b: np.ndarray, mult: np.uint64) -> np.ndarray:
+    x = a * mult + b
     return (x ^ (x >> U64(29))) * U64(0x9E3779B97F4A7C15)
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
+def ranks(data: np.ndarray, length: int, mult: np.uint64 = _MULT, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """Names of all substrings of ``length`` bytes, by doubling (the last step overlaps)."""
-    r, have = BYTE_CODES[data], 1
+    r, have = codes[data], 1
     while have < length:
         step = min(have, length - have)
-        r = _pair(r[: len(r) - step], r[step:])
+        r = _pair(r[: len(r) - step], r[step:], mult)
         have += step
     return r
 
@@ -237,7 +241,7 @@ def _documents(batch: pa.RecordBatch, seen: set, extra: int = 0):
 
 
 def _positions(threshold: int):
-    """Rows of round two: rank, uid, spot = position and check."""
+    """Rows of round two: rank and more (a string's name), uid, spot = position and check."""
 
     def run(batches):
         seen: set = set()
@@ -250,12 +254,13 @@ def _positions(threshold: int):
                 n = w.last[pick] - w.first[pick] + 1
                 p = np.arange(n.sum()) + np.repeat(w.first[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
                 rank = ranks(w.data, threshold)[p]
+                more = (ranks(w.data, threshold, _MORE, _MORE_CODES)[p] >> U64(32)).astype(np.uint32).view(np.int32)
                 own = np.repeat(w.doc[pick], n)
                 uid, check = (np.array([i[k] for i in ids[lo:hi]], np.int64)[own] for k in (0, 1))
                 spot = ((p - w.at[own]) << 24) | check
                 for a in range(0, len(p), 200_000):
                     b = a + 200_000
-                    yield pa.RecordBatch.from_arrays([pa.array(rank[a:b].view(np.int64)), pa.array(uid[a:b]), pa.array(spot[a:b])], ["rank", "uid", "spot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rank[a:b].view(np.int64)), pa.array(more[a:b]), pa.array(uid[a:b]), pa.array(spot[a:b])], ["rank", "more", "uid", "spot"])
 
     return run
 
@@ -321,8 +326,8 @@ def repeats_removed(docs: DataFrame, threshold: int = 200, text: str = "text", d
     # one exchange of the texts serves both rounds that look into them again
     both = packed(docs, threshold, text).hint("merge").join(told, key).select(*key, "packed", "codes")
     single = (
-        both.mapInArrow(_positions(threshold), "rank long, uid long, spot long")
-        .groupBy("rank").agg(count.alias("n"), F.first("uid").alias("uid"), F.first("spot").alias("spot")).where("n = 1")
+        both.mapInArrow(_positions(threshold), "rank long, more int, uid long, spot long")
+        .groupBy("rank", "more").agg(count.alias("n"), F.first("uid").alias("uid"), F.first("spot").alias("spot")).where("n = 1")
         .select("uid", check, spot.alias("position")).groupBy(*key).agg(F.collect_list("position").alias("single"))
     )
     found = both.join(single, key, "left").select(*key, "packed", "codes", "single").mapInArrow(_removals(threshold), "uid long, check int, n_removed long, n_spans long, sha2 string")
