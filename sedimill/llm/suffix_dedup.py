@@ -317,7 +317,8 @@ def repeats_removed(docs: DataFrame, threshold: int = 200, text: str = "text", d
     spot = F.shiftright("spot", 24)
     rows = anchors(docs, threshold, text)
     around = rows.groupBy("rank", "around").agg(count.alias("n"), F.first("uid").alias("uid"), F.first("spot").alias("spot"))
-    alone = around.groupBy("rank").agg(count.alias("m"), F.first("uid").alias("uid"), F.first("spot").alias("spot")).where("m = 1")
+    # n is asked for here as well, as both uses of the groups then read one exchange
+    alone = around.groupBy("rank").agg(count.alias("m"), F.first("uid").alias("uid"), F.first("spot").alias("spot"), F.max("n").alias("n")).where("m = 1 AND n > 0")
     # codes: ordinal, final, kind
     told = around.select("uid", check, (spot * 4 + F.when(F.col("n") == 1, UNIQUE).otherwise(ONE)).alias("code")).union(
         alone.select("uid", check, (spot * 4 + ALONE).alias("code"))
