@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder of our own only where the session names none."""
+    """The cluster's ``spark.checkpoint.dir``. A session without one gets a local folder if it is a local session, and an error otherwise."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sedimill-ckpt-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,4 +32,16 @@ def written(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/sedimill/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Delete what ``written`` made, once nothing that is still to be computed reads it."""
+    for df in frames:
+        path = df.__dict__.pop("_durable_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import released, written
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -39,11 +39,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        e = written(
+        last, e = e, written(
             joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .distinct(),
             "links",
         )
+        released(last)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
