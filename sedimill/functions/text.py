@@ -8,15 +8,14 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Unicode defines it, line ends, and what counts as a special character.
+# White space as Unicode defines it, line ends, and what counts as a special character (invisible ones are escaped).
 STRIP_CLASS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 WHITESPACES = " \t\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\xa0\u202f\u205f\u3000\u200b\u200c\u200d\u2060\ufffc\x84"
 OTHER_SPECIAL = (
-    "\x92\u2009\x93\x97\u200a\x9d\x99\u202f\x96\u2005\x95\x91\x9c\u3000\u2002 \u2008\x98\x81\u2003\x82\ufffc\x83\x84\u2019\u201c\u201d\u2013\u30fc\u4e00\u25ac\u2026\u2726\ufffd\xad\xa3\u200b\u2022\u20ac\xab\xbb\xb0\xb7\u2550"
-    "\xd7\u58eb\uff3e\u02d8\u21d3\u2193\u2191\u2190\u2192\uff08\uff09\xa7\u2033\u2032\xb4\xbf\u2212\xb1\u2208\ufeff\xa2\xf8\u201a\u201e\xbd\xbc\xbe\xb9\xb2\xb3\u2015\u2043\uff0c\u02cc\xb8\u2039\u203a\u02ba\u02c8\u02bb\xa6\u2010\u2800\u2030\x85\u2011\u2264\u2265\u2016"
-    "\u25c6\u25cf\u25a0\u25ba\u25bc\u25b2\u25b4\u2206\u25bb\xa1\u2605\u2606\u2731\u02d0\xba\u3002\xaf\u02dc\xa5\u026a\u2248\u2020\u4e0a\u30f3\uff1a\u223c\u2044\u30fb\u2661\u2713\u2295\u2024\uff0e\u22c5\xf7\uff11\u201f\uff1b\u060c\u3001\xa8\u093e\u09be\u0940\u094d\u0947\u25e6\u02da"
-    "\u309c\u02bc\u2256\xa4\u30c3\u30c4\u30b7\u2103\u221a\uff01\u3010\u3011\u203f\u221e\u27a4\uff5e\u03c0\u0647\u06e9\u261b\u20a8\u27a9\u263b\u0e51\u066a\u2665\u0131\u097d\u300a\u2018\xa9\ufd3f\u066c\uff1f\u25b7\u0413\u266b\u221f\u2122\xaa\u20aa\xae\u300c\u2014\u2756\u300d\ufd3e\u300b"
+    "\x92\u2009\x93\x97\u200a\x9d\x99\u202f\x96\u2005\x95\x91\x9c\u3000\u2002 \u2008\x98\x81\u2003\x82￼\x83\x84’“”–ー一▬…✦�\xad£\u200b•€«»°·═×士＾˘⇓↓↑←→（）§″′´¿−±∈"
+    "\ufeff¢ø‚„½¼¾¹²³―⁃，ˌ¸‹›ʺˈʻ¦‐⠀‰\x85‑≤≥‖◆●■►▼▲▴∆▻¡★☆✱ːº。¯˜¥ɪ≈†上ン：∼⁄・♡✓⊕․．"
+    "⋅÷１‟；،、¨ाাी्े◦˚゜ʼ≖¤ッツシ℃√！【】‿∞➤～πه۩☛₨➩☻๑٪♥ıॽ《‘©﴿٬？▷Г♫∟™ª₪®「—❖」﴾》"
 )
 # Emoji of a single code point, as ranges.
 EMOJI_RANGES = ((0x203C, 0x203C), (0x2049, 0x2049), (0x231A, 0x231B), (0x23E9, 0x23F3), (0x23F8, 0x23FA), (0x2600, 0x27BF), (0x2B05, 0x2B07), (0x2B1B, 0x2B1C), (0x2B50, 0x2B50), (0x2B55, 0x2B55), (0x1F004, 0x1F004), (0x1F0CF, 0x1F0CF), (0x1F170, 0x1F251), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F7E0, 0x1F7EB), (0x1F90C, 0x1FAFF))
@@ -29,6 +28,8 @@ def special_class() -> str:
 
 
 SPECIAL = special_class()
+#: All of them one after the other, for ``translate``.
+SPECIAL_CHARS = "".join(sorted(set(string.punctuation + string.digits + string.whitespace + OTHER_SPECIAL) | {chr(p) for a, b in EMOJI_RANGES for p in range(a, b + 1)}))
 #: The same for one character in Java: common letters are told apart before the long class is looked through.
 ONE_SPECIAL = f"(?:(?![a-zA-Z\\x{{c0}}-\\x{{d6}}\\x{{d8}}-\\x{{f6}}\\x{{f9}}-\\x{{ff}}])[{SPECIAL}])"
 
@@ -64,11 +65,18 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, "[ \n\t]"), lambda w: w != "")
 
 
+def without_special(c: Column) -> Column:
+    """The text without its special characters: each character is looked up once, which no regular expression does."""
+    return F.translate(c, SPECIAL_CHARS, "")
+
+
 def refined_words(c: Column, lower: bool = True) -> Column:
-    """Words in lower case without special characters at their ends, which one pass over the whole text takes off."""
-    one = f"(?:(?![a-zA-Z \\n\\t])[{SPECIAL}])"
-    ends = rf"(?<![^ \n\t]){one}++|(?<!{one}){one}++(?=[ \n\t]|\z)"
-    return words(F.regexp_replace(F.lower(c) if lower else c, ends, ""))
+    """Words in lower case without special characters at their ends; only words that begin or end with one are looked into."""
+    def bare(w: Column) -> Column:
+        ends = F.concat(F.substring(w, 1, 1), F.substring(w, -1, 1))
+        return F.when(F.length(without_special(ends)) == 2, w).otherwise(strip_special(w))
+
+    return F.filter(F.transform(words(F.lower(c) if lower else c), bare), lambda w: w != "")
 
 
 def augmented(ws: Column, sizes: list[int], joiner: str) -> Column:

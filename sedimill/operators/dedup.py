@@ -155,15 +155,24 @@ def simhash(df: DataFrame, ctx: Context, tokenization: str = "space", window_siz
     return _without_followers(df, ctx, same.union(cross))
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Row numbers from 0 in the order of a column: ranges are numbered side by side, and the counts of the ranges before are added."""
+    from pyspark.sql.window import Window
+
+    ranges = written(df.repartitionByRange(F.col(by).asc()).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    return written(ranges.withColumn("_own", own).join(before, "_range").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before"), "ranks")
+
+
 @register("dedup_and_save_deduplicator", "deduplicator")
 def neighbour_graph(df: DataFrame, ctx: Context, similarity_threshold: float = 0.5, nn_indices_key: str = "nn_indices", nn_scores_key: str = "nn_scores", fields_to_filter: list | None = None) -> DataFrame:
     """Rows linked to neighbours that score at least the threshold; the first row of each component is kept, listed fields (never the text) go.
 
     Neighbours are given by row number, that is, by rank of the id.
     """
-    from pyspark.sql.window import Window
-
-    ranked = written(df.select(ctx.id_col, nn_indices_key, nn_scores_key).withColumn("a", F.row_number().over(Window.orderBy(ctx.id_col)).cast("long") - 1), "ranks")
+    ranked = numbered(df.select(ctx.id_col, nn_indices_key, nn_scores_key), ctx.id_col, "a")
     kinds = dict(df.dtypes)
     nested = kinds[nn_indices_key].startswith("array<array")
     ids = F.flatten(nn_indices_key) if nested else F.col(nn_indices_key)

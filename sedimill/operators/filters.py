@@ -23,6 +23,12 @@ def _between(name: str, low, high):
     return lambda s: (s[name] >= low) & (s[name] <= high)
 
 
+def _no_tokens(tokenization: bool) -> None:
+    """Words are split at white space; splitting them by a trained tokenizer isn't offered here, and isn't passed over in silence."""
+    if tokenization:
+        raise ValueError("tokenization=True needs a trained tokenizer, which this filter doesn't take")
+
+
 def _stat(name: str, value: Column, low, high):
     return {name: value}, _between(name, low, high)
 
@@ -82,7 +88,8 @@ def _char_repetition(n: int):
 
 @register("word_repetition_filter", "filter", form="stats")
 def word_repetition(c: Column, lang: str = "en", tokenization: bool = False, rep_len: int = 10, min_ratio: float = 0.0, max_ratio: float = 0.5):
-    """Share of word n-grams that occur more than once."""
+    """Share of word n-grams that occur more than once. Words are split alike in every language."""
+    _no_tokens(tokenization)
     return {"word_rep_ratio": _word_repetition(rep_len)(T.refined_words(c))}, _between("word_rep_ratio", min_ratio, max_ratio)
 
 
@@ -107,13 +114,14 @@ def _word_repetition(n: int):
 @register("special_characters_filter", "filter", form="stats")
 def special_characters(c: Column, min_ratio: float = 0.0, max_ratio: float = 0.25):
     """Share of special characters: punctuation, digits, white space, symbols, emoji."""
-    value = T.ratio(F.length(c) - F.length(F.regexp_replace(c, T.ONE_SPECIAL, "")), F.length(c))
+    value = T.ratio(F.length(c) - F.length(T.without_special(c)), F.length(c))
     return _stat("special_char_ratio", value, min_ratio, max_ratio)
 
 
 @register("words_num_filter", "filter", form="stats")
 def words_num(c: Column, lang: str = "en", tokenization: bool = False, min_num: int = 10, max_num: int = sys.maxsize):
-    """Number of words between spaces, tabs and line feeds."""
+    """Number of words between spaces, tabs and line feeds, in every language."""
+    _no_tokens(tokenization)
     return _stat("num_words", F.size(T.words(c)).cast("long"), min_num, max_num)
 
 
@@ -135,6 +143,7 @@ def _list_of(lists: dict, lang: str, given) -> list:
 @register("stopwords_filter", "filter", form="stats")
 def stopwords(c: Column, lang: str = "en", tokenization: bool = False, min_ratio: float = 0.3, stopwords_dir: dict | list | None = None, use_words_aug: bool = False, words_aug_group_sizes: tuple = (2,), words_aug_join_char: str = ""):
     """Share of stop words; too few are dropped. ``stopwords_dir`` is the list itself, or lists by language."""
+    _no_tokens(tokenization)
     value = _listed(c, _list_of(STOPWORDS, lang, stopwords_dir), use_words_aug, list(words_aug_group_sizes), words_aug_join_char)
     return {"stopwords_ratio": value}, lambda s: s["stopwords_ratio"] >= min_ratio
 
@@ -142,6 +151,7 @@ def stopwords(c: Column, lang: str = "en", tokenization: bool = False, min_ratio
 @register("flagged_words_filter", "filter", form="stats")
 def flagged_words(c: Column, lang: str = "en", tokenization: bool = False, max_ratio: float = 0.045, flagged_words_dir: dict | list | None = None, use_words_aug: bool = False, words_aug_group_sizes: tuple = (2,), words_aug_join_char: str = ""):
     """Share of flagged words, at most 1; too many are dropped."""
+    _no_tokens(tokenization)
     value = _listed(c, _list_of(FLAGGED, lang, flagged_words_dir), use_words_aug, list(words_aug_group_sizes), words_aug_join_char)
     return {"flagged_words_ratio": value}, lambda s: s["flagged_words_ratio"] <= max_ratio
 
@@ -219,11 +229,14 @@ def text_bloom(df: DataFrame, ctx: Context, error_rate: float = 1e-6, hash_func:
 
 
 def first_of(df: DataFrame, ctx: Context, key: Column) -> DataFrame:
-    """The row with the smallest id of each key. Ids and keys alone are grouped, with partial sums, so a frequent key is no burden."""
-    keyed = df.withColumn("_key", key)
-    least = keyed.groupBy("_key").agg(F.min(ctx.id_col).alias("_least"))
-    ids = least.select(F.col("_least").alias(ctx.id_col))
-    return df.join(ids, ctx.id_col, "left_semi")
+    """One row of each key, the one with the smallest id (a missing id comes last).
+
+    What comes before is computed once, and a task hands on one row for each of its keys, so a frequent key is no burden.
+    """
+    names = [f"`{c}`" for c in df.columns]
+    i = F.col(f"`{ctx.id_col}`")
+    rows = df.select(key.alias("_key"), F.struct(i.isNull().alias("missing"), i.alias("id")).alias("_by"), F.struct(*names).alias("_row"))
+    return rows.groupBy("_key").agg(F.min_by("_row", "_by").alias("_row")).select("_row.*")
 
 
 @register("gather_generated_data_filter", "filter")

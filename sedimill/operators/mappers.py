@@ -31,9 +31,18 @@ PUNCTUATION = {
     "？": "?", "！": "!", "（": "(", "）": ")", "；": ";", "–": "-", "—": " - ", "．": ". ", "～": "~", "’": "'", "…": "...", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-",
 }
 BIBLIOGRAPHY = r"(\\appendix|\\begin\{references\}|\\begin\{REFERENCES\}|\\begin\{thebibliography\}|\\bibliography\{.*\}).*$"
-_HEAD = r"\\\b{}\b\*?(?:\[(.*?)\])?\{{(.*?)\}}"
 # between paragraph and subparagraph there is no alternative: the first counts only right before the second
-HEADER = "^(.*?)(" + "|".join(_HEAD.format(x) for x in ("chapter", "part", "section", "subsection", "subsubsection")) + "|" + _HEAD.format("paragraph") + _HEAD.format("subparagraph") + ")"
+HEADER = (
+    r"^(.*?)("
+    r"\\\bchapter\b\*?(?:\[(.*?)\])?\{(.*?)\}|"
+    r"\\\bpart\b\*?(?:\[(.*?)\])?\{(.*?)\}|"
+    r"\\\bsection\b\*?(?:\[(.*?)\])?\{(.*?)\}|"
+    r"\\\bsubsection\b\*?(?:\[(.*?)\])?\{(.*?)\}|"
+    r"\\\bsubsubsection\b\*?(?:\[(.*?)\])?\{(.*?)\}|"
+    r"\\\bparagraph\b\*?(?:\[(.*?)\])?\{(.*?)\}"
+    r"\\\bsubparagraph\b\*?(?:\[(.*?)\])?\{(.*?)\}"
+    r")"
+)
 SYMBOLS = "◆●■►▼▲▴∆▻▷❖♡□"
 SUBSTRINGS = ["http", "www", ".com", "href", "//"]
 
@@ -44,8 +53,8 @@ def _replaced(c: Column, pattern: str, repl: str = "", flags: str = "(?s)") -> C
 
 @register("clean_email_mapper", "mapper", form="column")
 def clean_email(c: Column, pattern: str | None = None, repl: str = "") -> Column:
-    """E-mail addresses replaced."""
-    return _replaced(c, pattern or EMAIL, repl)
+    """E-mail addresses replaced. Texts without an @ aren't looked through by the fixed pattern."""
+    return _replaced(c, pattern, repl) if pattern else F.when(c.contains("@"), _replaced(c, EMAIL, repl)).otherwise(c)
 
 
 @register("clean_ip_mapper", "mapper", form="column")
@@ -233,8 +242,12 @@ def fix_unicode(text: str, normalization: str | None = None) -> str:
     return ftfy.fix_text(text, normalization=form)
 
 
+#: Where a sentence ends.
+SENTENCE_ENDS = (r"([.。！!？\?])([^’”])", r"(\.{6})([^’”])", r"(\…{2})([^’”])", r"([.。！!？\?{6}…{2}][’”])([^’”])")
+
+
 def _sentences(line: str) -> list[str]:
-    for pattern in (r"([.。！!？\?])([^’”])", r"(\.{6})([^’”])", r"(\…{2})([^’”])", r"([.。！!？\?{6}…{2}][’”])([^’”])"):
+    for pattern in SENTENCE_ENDS:
         line = re.sub(pattern, r"\1\n\2", line)
     return line.split("\n")
 
