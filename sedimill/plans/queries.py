@@ -330,3 +330,32 @@ def window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("baseline_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tool(name: str, sql: str | None):
+    def add(fn):
+        query(name, sql)(lambda spark, sf_dir: fn(table(spark, sf_dir, "documents").select("doc_id", "lang")))
+        return fn
+
+    return add
+
+
+@_tool("constant_column", "SELECT doc_id, lang, 'corpus' AS origin FROM documents")
+def _constant(df: DataFrame) -> DataFrame:
+    from .tools import with_constant
+
+    return with_constant(df, "origin", "corpus")
+
+
+@_tool("positional_select", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i IN (0, 7, 99)")
+def _positions(df: DataFrame) -> DataFrame:
+    from .tools import at_positions
+
+    return at_positions(df, [0, 7, 99, 10**9], "doc_id")
+
+
+@_tool("shuffle", None)
+def _shuffle(df: DataFrame) -> DataFrame:
+    from .tools import shuffled
+
+    return shuffled(df, "doc_id")

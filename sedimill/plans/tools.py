@@ -25,6 +25,25 @@ def count_tokens(df: DataFrame, text_key: str = "text", tokenizer: str | None =
     return df.agg(F.sum(run(text_key)).alias("tokens"))
 
 
+def with_constant(df: DataFrame, name: str, value) -> DataFrame:
+    """A column with one value in every row; a column of that name is replaced."""
+    return df.withColumn(name, F.lit(value))
+
+
+def at_positions(df: DataFrame, positions: list[int], by: str) -> DataFrame:
+    """The rows at these places (from 0) in the order of a column; places that don't exist are passed over."""
+    from sedimill.operators.dedup import numbered
+
+    return numbered(df, by, "_at").where(F.col("_at").isin(*positions)).drop("_at")
+
+
+def shuffled(df: DataFrame, by: str, seed: int = 42) -> DataFrame:
+    """All rows with their place in an order that a seed and a column give, the same on every run: column ``place``."""
+    from sedimill.operators.dedup import numbered
+
+    return numbered(df.withColumn("_by", F.struct(F.xxhash64(F.lit(seed), by), by)), "_by", "place").drop("_by")
+
+
 def alpaca_merged(df: DataFrame, path_col: str | None = None) -> DataFrame:
     """text = instruction, input and output joined by spaces, with a meta struct."""
     text = F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("instruction", "input", "output")))

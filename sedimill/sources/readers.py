@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FORMATS = {".json": "json", ".jsonl": "json", ".jsonl.zst": "json", ".json.gz": "json", ".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".txt": "text", ".md": "text", ".tex": "text", ".html": "text", ".py": "text", ".java": "text", ".c": "text", ".cpp": "text", ".go": "text", ".js": "text", ".rs": "text", ".sh": "text", ".sql": "text", ".xml": "text", ".yaml": "text", ".docx": "text", ".pdf": "text"}
+FORMATS = {".json": "json", ".jsonl": "json", ".jsonl.zst": "json", ".json.gz": "json", ".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".txt": "text", ".md": "text", ".tex": "text", ".html": "text", ".py": "text", ".java": "text", ".c": "text", ".cpp": "text", ".go": "text", ".js": "text", ".rs": "text", ".sh": "text", ".sql": "text", ".xml": "text", ".yaml": "text", ".docx": "docx"}
+FORMATS |= dict.fromkeys(".rst .tei .bib .cls .sty .css .scss .htm .jsx .ts .tsx .vue .php .rb .pl .pm .lua .r .jl .scala .kt .swift .m .h .hpp .hh .cc .cxx .cs .fs .f90 .f .asm .s .clj .erl .ex .hs .ml .lisp .el .vb .bat .ps1 .cmake .mk .toml .ini .cfg .conf .yml .log .proto .thrift .dart .groovy .gradle".split(), "text")
 #: Order of simple types: of two, the higher one holds both.
 LATTICE = ["void", "boolean", "long", "double", "timestamp", "string"]
 
@@ -109,9 +111,35 @@ def read(spark: SparkSession, path: str, text_keys: str | list = "text", suffixe
     return unified(df, text_keys)
 
 
+def _docx(contents: pd.Series) -> pd.Series:
+    """The paragraphs of a word processor's files, a line each; null for what can't be read."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def one(content) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                body = ElementTree.fromstring(z.read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return None
+        kinds = {f"{space}t": lambda x: x.text or "", f"{space}tab": lambda x: "\t", f"{space}br": lambda x: "\n"}
+        return "\n".join("".join(kinds[x.tag](x) for x in p.iter() if x.tag in kinds) for p in body.iter(f"{space}p"))
+
+    return contents.map(one)
+
+
 def _read(spark: SparkSession, paths: list[str], form: str, **options) -> DataFrame:
     if form == "json":
+        # an array of objects spans lines; the first characters of each file tell
+        heads = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, 64).cast("string").alias("head")) if all(p.endswith(".json") for p in paths) else None
+        if heads is not None and not heads.where(F.ltrim(F.col("head")).startswith("[")).isEmpty():
+            options = {"multiLine": True} | options
         return spark.read.options(**options).json(paths)
+    if form == "docx":
+        return spark.read.format("binaryFile").load(paths).select(F.pandas_udf(_docx, "string")("content").alias("text"))
     if form in ("csv", "tsv"):
         return spark.read.options(header=True, inferSchema=True, multiLine=True, escape='"', sep="\t" if form == "tsv" else ",", **options).csv(paths)
     if form == "parquet":

@@ -131,3 +131,48 @@ def test_entry_works_without_the_optional_subpackage(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "recipe_flagship" in entry.queries() and not any(k.startswith("op1") for k in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_word_processor_files_and_arrays(spark, tmp_path):
+    import zipfile
+
+    from sedimill.sources.readers import read
+
+    xml = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>'
+    (tmp_path / "w").mkdir()
+    with zipfile.ZipFile(tmp_path / "w" / "a.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+    (tmp_path / "w" / "b.docx").write_bytes(b"no archive")
+    assert [r["text"] for r in read(spark, str(tmp_path / "w")).collect()] == ["one\ttwo\nthree"]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('[\n{"text": "a"},\n{"text": "b"}]')
+    assert sorted(r["text"] for r in read(spark, str(tmp_path / "j")).collect()) == ["a", "b"]
+
+
+def test_numbers_places_and_shuffles(spark):
+    from pyspark.sql import functions as F
+
+    from sedimill.plans import tools
+
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("id"))
+    assert sorted(r["id"] for r in tools.at_positions(df, [0, 3, 499, 500], "id").collect()) == [0, 3, 499]
+    first, again = (sorted((r["place"], r["id"]) for r in tools.shuffled(df, "id").collect()) for _ in range(2))
+    assert first == again and [p for p, _ in first] == list(range(500)) and [i for _, i in first] != sorted(i for _, i in first)
+    assert tools.shuffled(df.limit(0), "id").collect() == []
+
+
+def test_first_row_of_a_key_with_repeated_and_missing_ids(spark):
+    from sedimill.operators import registry
+
+    df = spark.createDataFrame([(None, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b"), (3, None), (4, "")], "doc_id long, text string")
+    rows = registry.get("document_deduplicator").apply(df, None).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows) == [("2", "a"), ("3", None), ("None", "b")]
+
+
+def test_ignored_parameters_are_refused(spark):
+    from sedimill.operators import registry
+
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for name in ("words_num_filter", "word_repetition_filter", "stopwords_filter", "flagged_words_filter"):
+        with pytest.raises(ValueError):
+            registry.get(name).apply(df, None, tokenization=True)
