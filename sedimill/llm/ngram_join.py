@@ -18,7 +18,8 @@ needs at least (|D(x)| + |D(y)| - H) / 2 >= 1 common members of D, and by the pr
 argument one of them lies in the first |D(x)| - least overlap + 1 members of either in
 a fixed order (additions first, as they are rare). Pairs are formed at common
 prefix members of sets in different components, if their place leaves room for the overlap
-that is needed, and are verified exactly. No group's pairs are listed, however large it is.
+that is needed, whose sketches (the parity of a set's members by hash) differ in no more
+bits than linked sets in members, and are verified exactly. No group's pairs are listed, however large it is.
 
 Sets are named by 64 bits and checked by 64 more. Names that several sets share (found
 by one aggregation) are told apart by their checks before anything else is done.
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sedimill.functions.durable import written
+from sedimill.functions.durable import released, written
 from sedimill.functions.graph import connected_components
 
 from .textnp import U64, blocks, flat, mix, shingles, tuned
@@ -51,6 +52,8 @@ from .textnp import U64, blocks, flat, mix, shingles, tuned
 BAND = 1.4
 #: Index rows that are as dear as verifying a pair.
 VERIFY = 50
+#: Members of the prefixes of a leader's sets that one task holds, at most.
+HELD = 1 << 18
 #: Names that several sets share, at most: of 5e10 sets some 70 do so by chance.
 SHARED = 100_000
 _SEG, _CHECK = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -267,8 +270,22 @@ def _linked(k: int, num: int, den: int):
     return run
 
 
+def _sketch(x: np.ndarray, most: int) -> bytes:
+    """The parity of the set's members by hash, in 8 to 16 bits for each of ``most`` members: two sketches differ in no more bits than the sets in members."""
+    bits = 1 << max(6, int(8 * most).bit_length())
+    return np.packbits(np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of the shortest one's length, a row each."""
+    width, out = min(map(len, sketches)), []
+    for x in sketches:
+        out.append(np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width)))
+    return np.array(out)
+
+
 def _parted(k: int, num: int, den: int):
-    """What sets a differ from their leaders b in: a, b, near (linked), n (members of a), added, gone, prefix (of added, then gone)."""
+    """What sets a differ from their leaders b in: a, b, near (linked), n (members of a), added, gone, prefix (of added, then gone), and a's sketch."""
 
     def run(batches):
         for batch, sets in _opened(batches, k):
@@ -282,13 +299,13 @@ def _parted(k: int, num: int, den: int):
                 else:
                     least = d - n * (den - num) // num
                 own = np.concatenate([added, gone])[: max(0, d - max(1, least) + 1)]
-                rows.append((near, n, len(added), len(gone), (own >> U64(32)).astype(np.uint32).view(np.int32)))
-            near, n, added, gone, own = zip(*rows, strict=True)
+                rows.append((near, n, len(added), len(gone), _sketch(x, n * (den - num) // num), (own >> U64(32)).astype(np.uint32).view(np.int32)))
+            near, n, added, gone, sketch, own = zip(*rows, strict=True)
             at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             prefix = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(own), pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(near), *(pa.array(c, pa.int32()) for c in (n, added, gone)), prefix],
-                ["a", "b", "near", "n", "added", "gone", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(near), *(pa.array(c, pa.int32()) for c in (n, added, gone)), prefix, pa.array(sketch, pa.binary())],
+                ["a", "b", "near", "n", "added", "gone", "prefix", "sketch"],
             )
 
     return run
@@ -308,24 +325,75 @@ def led(index: DataFrame) -> DataFrame:
     return index.join(weight, "set_id").select(F.col("set_id").alias("a"), best.alias("b")).where("a != b").distinct()
 
 
-def _pairs(stars: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets in different components that may be linked though neither leads the other."""
+def _within(num: int, den: int):
+    """What ``_pairs`` does by joins, for all sets of one leader at once: their prefixes have HELD members at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, n, added, gone, part, outside = (table[c].to_numpy() for c in ("a", "n", "added", "gone", "part", "outside"))
+        prefix = table["prefix"].combine_chunks()
+        size = prefix.value_lengths().to_numpy().astype(np.int64)
+        fan = np.repeat(np.arange(len(a)), size)
+        place = np.arange(len(fan)) - np.repeat(np.cumsum(size) - size, size)
+        member = prefix.flatten().to_numpy()
+        order = np.argsort(member, kind="stable")
+        member, fan, place = member[order], fan[order], place[order]
+        n, added, gone = (c.astype(np.int64) for c in (n, added, gone))
+        found, at, step = [np.zeros(0, np.int64)], np.arange(len(member)), 1
+        while True:  # of sets with a member in common, those ``step`` places apart; few are left as the step grows
+            at = at[at + step < len(member)]
+            at = at[member[at + step] == member[at]]
+            if not len(at):
+                break
+            x, y = fan[at], fan[at + step]
+            keep = (part[x] != part[y]) & (outside[x] | outside[y]) & (np.maximum(n[x], n[y]) * num <= np.minimum(n[x], n[y]) * den)
+            i, x, j, y = place[at[keep]], x[keep], place[at[keep] + step], y[keep]
+            both = np.minimum(added[x] - i, added[y] - j) + np.minimum(gone[x], gone[y])
+            room = np.where(i < added[x], both, np.minimum(added[x] + gone[x] - i, added[y] + gone[y] - j))
+            keep = 2 * room >= added[x] + gone[x] + added[y] + gone[y] - (n[x] + n[y]) * (den - num) // (den + num)
+            found.append(np.unique(np.minimum(x[keep], y[keep]) * len(a) + np.maximum(x[keep], y[keep])))
+            if step % 64 == 0:
+                found = [np.unique(np.concatenate(found))]
+            step += 1
+        pairs = np.unique(np.concatenate(found))
+        if len(pairs):  # most of the pairs that are no links show in their sketches
+            marks, close = _folded(table["sketch"].to_pylist()), []
+            for lo in range(0, len(pairs), 2048):
+                x, y = pairs[lo : lo + 2048] // len(a), pairs[lo : lo + 2048] % len(a)
+                close.append(np.bitwise_count(marks[x] ^ marks[y]).sum(1, dtype=np.int64) * (den + num) <= (n[x] + n[y]) * (den - num))
+            pairs = pairs[np.concatenate(close)]
+        x, y = a[pairs // len(a)], a[pairs % len(a)]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
+
+
+def _pairs(stars: DataFrame, parts: DataFrame, num: int, den: int, held: int = HELD) -> DataFrame:
+    """Pairs of sets in different components that may be linked though neither leads the other.
+
+    The sets of a leader whose prefixes have ``held`` members at most meet in one task; those of a larger one are dealt by member.
+    """
     part = parts.select(F.col("node").alias("a"), F.col("component").alias("pa"))
     lead = parts.select(F.col("node").alias("b"), F.col("component").alias("pb"))
-    rows = (
-        stars.join(part, "a", "left").join(lead, "b", "left")
-        .select("a", "b", "n", "added", "gone", "prefix", F.coalesce("pa", "a").alias("part"), (F.coalesce("pa", "a") != F.coalesce("pb", "b")).alias("outside"))
-        .select("a", "n", "added", "gone", "part", "outside", "b", F.posexplode("prefix").alias("place", "member"))
+    light = stars.select("a", "b", F.size("prefix").alias("members")).join(part, "a", "left").join(lead, "b", "left")
+    light = written(light.select("a", "b", "members", F.coalesce("pa", "a").alias("part"), (F.coalesce("pa", "a") != F.coalesce("pb", "b")).alias("outside")), "fans")
+    open_ = light.groupBy("b").agg(F.sum("members").alias("total"), F.max("outside").alias("out"), F.min("part").alias("low"), F.max("part").alias("high")).where("out AND low != high")
+    chosen = light.join(open_.select("b", (F.col("total") <= held).alias("small")), "b").select("a", "b", "part", "outside", "small")
+    rows = stars.drop("near").join(chosen, ["a", "b"])
+    small = rows.where("small").select("b", "a", "n", "added", "gone", "part", "outside", "prefix", "sketch").groupBy("b").applyInArrow(_within(num, den), "a long, b long")
+    if open_.where(F.col("total") > held).isEmpty():
+        return small.distinct()
+    dealt = (
+        rows.where("not small").select("a", "n", "added", "gone", "part", "outside", "b", F.posexplode("prefix").alias("place", "member"))
         .withColumn("key", F.xxhash64("b", "member")).drop("b", "member")
     )
     of = Window.partitionBy("key")
-    rows = written(
-        rows.withColumn("_out", F.max("outside").over(of)).withColumn("_low", F.min("part").over(of)).withColumn("_high", F.max("part").over(of))
+    dealt = written(
+        dealt.withColumn("_out", F.max("outside").over(of)).withColumn("_low", F.min("part").over(of)).withColumn("_high", F.max("part").over(of))
         .where("_out AND _low != _high").drop("_out", "_low", "_high"),
         "prefixes",
     )
-    x = rows.where("outside").select("key", *(F.col(c).alias(f"{c}_x") for c in ("a", "n", "added", "gone", "part", "place")))
-    y = rows.select("key", *(F.col(c).alias(f"{c}_y") for c in ("a", "n", "added", "gone", "part", "place", "outside")))
+    x = dealt.where("outside").select("key", *(F.col(c).alias(f"{c}_x") for c in ("a", "n", "added", "gone", "part", "place")))
+    y = dealt.select("key", *(F.col(c).alias(f"{c}_y") for c in ("a", "n", "added", "gone", "part", "place", "outside")))
     col = F.col
     total = col("added_x") + col("gone_x") + col("added_y") + col("gone_y")
     most = F.floor((col("n_x") + col("n_y")) * F.lit(den - num) / F.lit(den + num))
@@ -338,10 +406,11 @@ def _pairs(stars: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
         (col("part_x") != col("part_y")) & (~col("outside_y") | (col("a_x") < col("a_y")))
         & (2 * room >= total - most) & (F.greatest("n_x", "n_y") * num <= F.least("n_x", "n_y") * den)
     )
-    return x.join(y, (x["key"] == y["key"]) & can).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
+    large = x.join(y, (x["key"] == y["key"]) & can).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b"))
+    return small.union(large).distinct()
 
 
-def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text", near: float = 1.0, apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
+def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text", near: float = 1.0, apart: frozenset = frozenset(), bits: int = 64, held: int = HELD) -> DataFrame:
     """(node, component): the components of the distinct sets that have a partner."""
     of = Window.partitionBy("key")
     index = written(
@@ -353,23 +422,26 @@ def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text",
     # only sets with a candidate are fetched; of several copies of a set, one text
     wanted = index.select("set_id").distinct()
     texts = written(packed_texts(docs, k, text, apart, bits).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
-    stars = _with_texts(led(index), texts).mapInArrow(_parted(k, num, den), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>")
+    stars = _with_texts(led(index), texts).mapInArrow(_parted(k, num, den), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>, sketch binary")
     stars = written(stars, "stars")
+    released(index)
     parts = written(connected_components(stars.where("near").select("a", "b"), "a", "b"), "parts")
-    more = _with_texts(_pairs(stars, parts, num, den), texts).mapInArrow(_linked(k, num, den), "a long, b long")
+    more = _with_texts(_pairs(stars, parts, num, den, held), texts).mapInArrow(_linked(k, num, den), "a long, b long")
     more = written(more, "links")
+    released(stars, texts)
     if more.isEmpty():
         return parts
     return written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "parts")
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", near: float = 1.0, bits: int = 64) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", near: float = 1.0, bits: int = 64, held: int = HELD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Two documents link when den * |intersection| >= num * |union| of their k-word
     shingles. ``near`` is how many sets of three quarters of that similarity a set is
     expected to have; many of them make one-deletion neighbourhoods the cheaper
-    index. ``bits`` of a set's name are used at first. See the module's text for defined results.
+    index. ``bits`` of a set's name are used at first; the sets of one leader meet in a
+    task if their prefixes have ``held`` members at most. See the module's text for defined results.
     """
     tuned(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
@@ -386,7 +458,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if not shared:
             break
         apart = apart | {r["set_id"] for r in shared}
-    parts = linked_sets(docs, k, num, den, text, near, apart, bits)
+    parts = linked_sets(docs, k, num, den, text, near, apart, bits, held)
     named = own.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
     first = named.where("component IS NOT NULL").groupBy("part").agg(F.min("least").alias("reached"))
     # sets of one document need no join; equal sets and linked ones get the smallest id of all

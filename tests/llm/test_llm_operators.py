@@ -79,10 +79,10 @@ def test_join_matches_brute_force_with_families(spark):
     texts |= {150: texts[0].upper(), 151: texts[0], 152: "", 153: "a b", 154: "A  b"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     # many near neighbours make one-deletion neighbourhoods the cheaper index; few bits make sets share names
-    for k, num, near, bits in ((4, 85, 1, 64), (5, 80, 1, 64), (3, 50, 1, 64), (4, 95, 1, 64), (4, 85, 1, 4), (4, 85, 400, 64), (5, 80, 400, 64)):
+    for k, num, near, bits, held in ((4, 85, 1, 64, 1 << 18), (5, 80, 1, 64, 0), (5, 80, 1, 64, 1 << 18), (3, 50, 1, 64, 1 << 18), (4, 95, 1, 64, 0), (4, 85, 1, 4, 0), (4, 85, 400, 64, 1 << 18)):
         sets = word_sets(texts, k)
         assert near == 1 or ngram_join.scheme(130, num, 100, near).deletions == 1
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, k, num, 100, near=near, bits=bits).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, k, num, 100, near=near, bits=bits, held=held).collect()}
         want = components(sets, num, 100)
         assert got == {i: (len(sets[i]), want[i]) for i in texts}
 
