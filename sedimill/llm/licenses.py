@@ -1,10 +1,11 @@
 """Licence scan with a trained paragraph classifier, in DataFrame functions only.
 
-Each line is a paragraph, and so is each line with the words that follow it up to the next
-blank line, as many as the longest template has, so that a notice wrapped over lines is
-read as one. Those that share a telling word or a pair of words with any template (or hold
-a cue) are turned into hashed word 1- to 3-grams; what shares nothing with a template is
-unknown. A wrapped notice is given at the line it starts in, once, and only if no single
+Each line is a paragraph, and so is each line in which a template can start (it holds a
+telling word or a pair of words of it, or ends with a plain first word) with the words that
+follow it up to the next blank line, as many as the longest template has, so that a notice
+wrapped over lines is read as one. Those that share a telling word or a pair of words with
+any template are turned into word 1- to 3-grams; what shares nothing with a template
+is unknown, and an n-gram that the training never saw weighs nothing. A wrapped notice is given at the line it starts in, once, and only if no single
 line of it is confirmed as the same family. Then a multinomial logistic regression gives each licence family and
 the class "unknown" a probability. The weights are trained on the driver from phrases
 written out from the families' templates and from other sentences (a few thousand
@@ -20,6 +21,7 @@ columns are ignored; whole texts are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql.window import Window
 
 from sedimill.functions.durable import written
 
-WIDTH = 2048
 #: Phrases by licence family. The first word group of each entry is what a template comparison asks for.
 FAMILIES = {
     "MIT": ["mit license", "the mit license mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "expat license", "spdx license identifier mit"],
@@ -49,6 +50,9 @@ FAMILIES = {
     "Proprietary": ["all rights reserved", "proprietary and confidential", "may not be reproduced without permission", "unauthorized copying of this file is prohibited"],
 }
 UNKNOWN = "unknown"
+ODD = "\x00"
+#: Share of wrong families among those given to paragraphs kept out of the training; the least probability follows from it.
+WRONG = 0.005
 _LEADS = [
     "", "licensed under the", "released under the", "this work is licensed under the", "distributed under the terms of the", "this file is licensed under the", "available under the",
     "this project is licensed under the", "code is covered by the", "published under a", "see the license file for details", "copyright 2019 the authors", "license", "this software is released under",
@@ -60,7 +64,6 @@ _OTHERS = [
     "the apache helicopter landed", "apache people of the southwest", "general public transport", "the general public was invited", "mozilla released a new browser", "creative work in common rooms", "rights of the reserved seats",
     "redistribution of wealth", "a bsd conference", "he studied at mit", "the mit campus is in cambridge", "license plate number", "liquor license hearing", "the license fee was raised", "under the terms of the agreement", "licence renewal office",
 ]
-CUES = r"(?i)licen[cs]|copyright|creative commons|\bcc[- ]by\b|\bcc0\b|public domain|permission (is hereby|to use)|redistribution|\b[al]?gpl|apache|\bmpl\b|mozilla public|rights reserved|proprietary"
 
 #: Template words that say nothing by themselves; two of them in a template's order do.
 _PLAIN = frozenset("the is of to any a this or and in with without are by for all may not be use free person version source general public file into later copy forms under 1.0 2 2.0 2.1 3 3.0 4.0 released software http modify charge purpose international universal library".split())
@@ -69,6 +72,10 @@ _TEMPLATES = [p.split() for phrases in FAMILIES.values() for p in phrases]
 REACH = max(map(len, _TEMPLATES)) - 1
 
 
+def _one_of(words: list[str]) -> str:
+    return "|".join(w.replace(".", "[.]") for w in sorted(words))
+
+
 def _prefilter() -> str:
     """A pattern that finds every n-gram of a template, but for single plain words."""
     words = {w for t in _TEMPLATES for w in t} - _PLAIN
@@ -77,46 +84,79 @@ def _prefilter() -> str:
         for a, b in zip(t, t[1:], strict=False):
             if a in _PLAIN and b in _PLAIN:
                 pairs.setdefault(a, set()).add(b)
-    any_of = lambda xs: "|".join(x.replace(".", "[.]") for x in sorted(xs))
-    two = "|".join(f"{a.replace('.', '[.]')}[^\\p{{L}}\\p{{N}}]+(?:{any_of(bs)})" for a, bs in sorted(pairs.items()))
-    return rf"{CUES}|(?<![\p{{L}}\p{{N}}])(?:{any_of(words)}|{two})(?![\p{{L}}\p{{N}}])"
+    two = "|".join(f"{_one_of([a])}[^\\p{{L}}\\p{{N}}]+(?:{_one_of(bs)})" for a, bs in sorted(pairs.items()))
+    return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_one_of(words)}|{two})(?![\p{{L}}\p{{N}}])"
 
 
+def _starting() -> str:
+    """A pattern that finds every line in which a template starts: it holds two words of the template or a telling one, or ends with a plain first word."""
+    first = {t[0] for t in _TEMPLATES} & _PLAIN
+    return rf"{_prefilter()}|(?<![\p{{L}}\p{{N}}])(?:{_one_of(first)})[^\p{{L}}\p{{N}}]*$"
+
 
 def grams_of(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
 
-def _vector(text: str) -> np.ndarray:
-    x = np.zeros(WIDTH, np.float32)
-    for g in grams_of(text.split()):
-        x[xxhash.xxh64_intdigest(g.encode(), seed=42) % WIDTH] = 1  # as xxhash64() and pmod() give it
-    return x / max(1.0, float(np.sqrt(x.sum())))
+#: Short names that count as a notice only after a lead such as "released under"; no template, so they stay unconfirmed.
+SHORT = {
+    "MIT": ["mit"], "Apache-2.0": ["apache 2.0"], "GPL": ["gpl", "gpl 3.0"], "LGPL": ["lgpl", "lgpl 2.1"], "AGPL": ["agpl", "agpl 3.0"], "BSD": ["bsd", "bsd 3 clause"],
+    "MPL": ["mpl"], "CC-BY": ["cc by"], "CC-BY-SA": ["cc by sa"], "CC-BY-NC": ["cc by nc"], "CC0": ["cc0"], "ISC": ["isc"], "Proprietary": ["proprietary"],
+}
 
 
-@lru_cache(maxsize=1)
-def trained(seed: int = 5, rounds: int = 220) -> tuple[list[str], np.ndarray, float, float]:
-    """Classes, weights (the last row is the bias), temperature and least probability."""
-    rng = np.random.default_rng(seed)
-    names = [*FAMILIES, UNKNOWN]
+def _training(rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Labelled paragraphs: notices of each family between other words, and paragraphs of the class unknown, some of which hold stray words of templates."""
     filler = " ".join(_OTHERS).split()
+    leads = [x for x in _LEADS if x]
+    # most words of a text are none of the training's: ODD stands for them
+    around = lambda most: " ".join(np.where(rng.random(n := rng.integers(0, most)) < rng.choice([0, 0.7, 1]), ODD, rng.choice(filler, n)))
     texts, y = [], []
-    for c, phrases in enumerate(FAMILIES.values()):
-        for _ in range(130):
-            near = [" ".join(rng.choice(filler, rng.integers(0, 9))) for _ in range(2)] if rng.random() < 0.4 else ["", ""]
-            texts.append(" ".join(f"{near[0]} {rng.choice(_LEADS)} {rng.choice(phrases)} {rng.choice(_TAILS)} {near[1]}".split()))
+    for c, (name, phrases) in enumerate(FAMILIES.items()):
+        for i in range(200):
+            said = f"{rng.choice(leads)} {rng.choice(SHORT[name])}" if i % 8 == 7 else f"{rng.choice(_LEADS)} {rng.choice(phrases)} {rng.choice(_TAILS)}"
+            texts.append(" ".join(f"{around(24)} {said} {around(24)}".split() if rng.random() < 0.5 else said.split()))
             y.append(c)
-    for _ in range(700):
-        parts = list(rng.choice(_OTHERS, rng.integers(1, 3))) + list(rng.choice(filler, rng.integers(0, 12)))
-        if rng.random() < 0.3:
-            parts.append(rng.choice([x for x in _LEADS if x]))
+    long = [t for t in _TEMPLATES if len(t) > 1]
+    words = sorted({w for t in long if len(t) > 2 for w in t})
+    for i in range(3000):
+        parts = list(rng.choice(_OTHERS, rng.integers(0, 3) if rng.random() < 0.5 else 0)) + [around(48)]
+        if i % 4 == 0:
+            parts.insert(int(rng.integers(0, len(parts) + 1)), str(rng.choice(leads)))
+        if i % 10 == 1:  # one stray word and nothing else that is known
+            parts = [f"{ODD} {words[i // 10 % len(words)]} {ODD}"]
+        elif i % 2 == 1:
+            for _ in range(rng.integers(1, 4)):  # stray words and pairs
+                t = long[rng.integers(len(long))]
+                at = int(rng.integers(0, len(t) - 1))
+                stray = " ".join(t[at : at + 2]) if len(t) > 7 and rng.random() < 0.3 else words[rng.integers(len(words))]
+                side = lambda: ODD if rng.random() < 0.6 else rng.choice(filler)
+                parts.insert(int(rng.integers(0, len(parts) + 1)), f"{side()} {stray} {side()}")
         texts.append(" ".join(" ".join(parts).split()))
-        y.append(len(names) - 1)
-    x = np.stack([_vector(t) for t in texts])
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    y = np.array(y)
-    held = np.arange(len(y)) % 5 == 4
-    w = np.zeros((WIDTH + 1, len(names)), np.float32)
+        y.append(len(FAMILIES))
+    return texts, np.array(y)
+
+
+def _matrix(texts: list[str], place: dict[str, int]) -> np.ndarray:
+    """Rows of known n-grams, each of length 1, and a column of ones: what the training never saw weighs nothing."""
+    x = np.zeros((len(texts), len(place) + 1), np.float32)
+    for row, text in zip(x, texts, strict=True):
+        row[[place[g] for g in set(grams_of(text.split())) if g in place]] = 1
+        row /= max(1.0, float(np.sqrt(row.sum())))
+    x[:, -1] = 1
+    return x
+
+
+@lru_cache(maxsize=1)
+def trained(seed: int = 5, rounds: int = 1000) -> tuple[list[str], dict[str, int], np.ndarray, float, float]:
+    """Classes, places of the known n-grams, weights (the last row is the bias), temperature and least probability."""
+    names = [*FAMILIES, UNKNOWN]
+    texts, y = _training(np.random.default_rng(seed))
+    held = np.random.default_rng(seed + 1).random(len(y)) < 0.2
+    seen = Counter(g for t, h in zip(texts, held, strict=True) if not h for g in set(grams_of(t.split())))
+    place = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= 4 and ODD not in g))}
+    x = _matrix(texts, place)
+    w = np.zeros((x.shape[1], len(names)), np.float32)
     xt, yt = x[~held], np.eye(len(names), dtype=np.float32)[y[~held]]
     step = np.zeros_like(w)
     for _ in range(rounds):
@@ -125,7 +165,7 @@ def trained(seed: int = 5, rounds: int = 220) -> tuple[list[str], np.ndarray, fl
         p /= p.sum(1, keepdims=True)
         step = 0.9 * step + xt.T @ (p - yt) / len(xt) + 1e-5 * w
         w -= 6.0 * step
-    w[:WIDTH][np.abs(w[:WIDTH]) < 0.05] = 0  # sparse weights
+    w[:-1][np.abs(w[:-1]) < 0.05] = 0  # sparse weights
     z, truth = x[held] @ w, y[held]
     best = (np.inf, 1.0)
     for t in np.geomspace(0.3, 4, 24):
@@ -134,9 +174,12 @@ def trained(seed: int = 5, rounds: int = 220) -> tuple[list[str], np.ndarray, fl
         best = min(best, (loss, float(t)))
     q = np.exp(z / best[1] - (z / best[1]).max(1, keepdims=True))
     q /= q.sum(1, keepdims=True)
-    wrong = (q.argmax(1) != truth) & (q.argmax(1) != len(names) - 1)
-    least = max(0.5, float(q.max(1)[wrong].max()) + 0.01 if wrong.any() else 0.5)
-    return names, w, best[1], min(least, 0.9)
+    said = q.argmax(1) != len(names) - 1
+    order = np.argsort(-q.max(1)[said])
+    wrong = (q.argmax(1) != truth)[said][order]
+    fine = np.flatnonzero(np.cumsum(wrong) <= WRONG * np.arange(1, len(wrong) + 1))
+    least = float(q.max(1)[said][order][fine[-1]]) if len(fine) else 0.9
+    return names, place, w, best[1], max(0.5, least)
 
 
 def _words(paragraph: Column) -> Column:
@@ -145,56 +188,53 @@ def _words(paragraph: Column) -> Column:
 
 def license_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per paragraph of a licence family: doc_id, paragraph (from 0), family, probability, confirmed, excerpt (the whole paragraph)."""
-    names, w, temperature, least = trained()
-    may = _prefilter()
-    blank = r"^\s*$"
+    names, place, w, temperature, least = trained()
+    may, starting = _prefilter(), _starting()
     lines = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).where(F.col("_text").rlike(may))
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_lines", F.split("_text", r"\r?\n"))
+        .select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.split("_text", r"\r?\n").alias("_lines"))
     )
+    starts = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i).rlike(starting))
     # a nonblank line may hold no word (a border of a comment), so twice as many lines are looked at; their words alone count
-    after = F.transform("_lines", lambda x, i: F.slice("_lines", i + 2, 2 * REACH))
-    ends = F.transform(after, lambda xs: F.array_position(F.transform(xs, lambda x: x.rlike(blank)), True))
-    joined = F.transform(F.arrays_zip(after.alias("xs"), ends.alias("end")), lambda z: F.array_join(F.when(z["end"] > 0, F.slice(z["xs"], 1, (z["end"] - 1).cast("int"))).otherwise(z["xs"]), " "))
-    rest = F.transform(joined, lambda x: F.regexp_extract(x, rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}.]+){{0,{REACH}}}", 0))
+    unit = lambda i: F.struct((i - 1).alias("paragraph"), F.element_at("_lines", i).alias("line"), F.slice("_lines", i + 1, 2 * REACH).alias("after"))
+    parts = lines.select("_row", "doc_id", F.explode(F.transform(starts, unit)).alias("_part")).select("_row", "doc_id", "_part.*")
+    end = F.array_position(F.transform("after", lambda x: F.trim(F.translate(x, "\t\f", "  ")) == ""), True)
+    parts = parts.withColumn("_joined", F.array_join(F.when(end > 0, F.slice("after", F.lit(1), (end - 1).cast("int"))).otherwise(F.col("after")), " "))
+    parts = parts.withColumn("rest", F.regexp_extract("_joined", rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}.]+){{0,{REACH}}}", 0))
     rows = (
-        lines.select("_row", "doc_id", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), rest.alias("rest"))).alias("paragraph", "_part"))
-        .where(F.length(F.trim("_part.line")) > 0)
-        .select("_row", "doc_id", "paragraph", F.explode(F.array(
-            F.struct(F.lit(False).alias("wrapped"), F.col("_part.line").alias("excerpt")),
-            F.struct((F.length("_part.rest") > 0).alias("wrapped"), F.when(F.length("_part.rest") > 0, F.concat_ws(" ", "_part.line", "_part.rest")).alias("excerpt")),
+        parts.select("_row", "doc_id", "paragraph", F.explode(F.array(
+            F.struct(F.lit(False).alias("wrapped"), F.col("line").alias("excerpt")),
+            F.struct(F.lit(True).alias("wrapped"), F.when(F.length("rest") > 0, F.concat_ws(" ", "line", "rest")).alias("excerpt")),
         )).alias("_unit"))
         .select("_row", "doc_id", "paragraph", "_unit.wrapped", "_unit.excerpt")
         .where(F.col("excerpt").rlike(may))
         .withColumn("_words", _words(F.col("excerpt")))
     )
     none = F.array().cast("array<int>")
-    grams = F.flatten(F.array(*(
-        F.transform(F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(none), lambda i, n=n: F.array_join(F.slice("_words", i, n), " "))
-        for n in (1, 2, 3)
-    )))
-    cells = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(WIDTH)).cast("int")))
-    # WIDTH rows of weights, whatever the corpus
-    frame = pd.DataFrame(w[:WIDTH].astype(float), columns=[f"w{c}" for c in range(len(names))])
-    weights = docs.sparkSession.createDataFrame(frame.reset_index(names="_cell").astype({"_cell": "int32"}))
+
+    def runs(n: int) -> Column:
+        """All runs of n words. The lambda has one parameter: a second one, even with a default, would get the index."""
+        starts = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(none)
+        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
+
+    grams = F.flatten(F.array(*map(runs, (1, 2, 3))))
+    cells = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    # a row of weights for each n-gram of the training, whatever the corpus
+    known = sorted(place, key=place.__getitem__)
+    frame = pd.DataFrame(w[:-1].astype(float), columns=[f"w{c}" for c in range(len(names))])
+    frame.insert(0, "_cell", np.array([xxhash.xxh64_intdigest(g.encode(), seed=42) for g in known], np.uint64).view(np.int64))  # as xxhash64() gives it
+    weights = docs.sparkSession.createDataFrame(frame)
     key = ["_row", "doc_id", "paragraph", "wrapped", "excerpt", "_words"]
     summed = (
         rows.select(*key, F.explode(cells).alias("_cell")).join(F.broadcast(weights), "_cell")
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(f"w{c}").alias(f"w{c}") for c in range(len(names))))
     )
     norm = F.sqrt(F.col("_n").cast("double"))
-    logits = summed.select(*key, *(((F.col(f"w{c}") / norm + float(w[WIDTH, c])) / temperature).alias(f"z{c}") for c in range(len(names))))
-    z = [F.col(f"z{c}") for c in range(len(names))]
-    top = logits.withColumn("_top", F.greatest(*z))
-    label = F.lit(names[-1])
-    for c in range(len(names) - 1):
-        label = F.when(z[c] == F.col("_top"), names[c]).otherwise(label)
-    total = sum((F.exp(x - F.col("_top")) for x in z), F.lit(0.0))
-    found = (
-        top.select("_row", "doc_id", "paragraph", "wrapped", "excerpt", "_words", label.alias("family"), (1 / total).alias("probability"))
-        .where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    )
+    logits = F.array(*((F.col(f"w{c}") / norm + float(w[-1, c])) / temperature for c in range(len(names))))
+    scored = summed.select(*key, logits.alias("_logits")).withColumn("_top", F.array_max("_logits"))
+    label = F.element_at(F.array(*map(F.lit, names)), F.array_position("_logits", F.col("_top")).cast("int"))
+    total = F.aggregate("_logits", F.lit(0.0), lambda sum_, x: sum_ + F.exp(x - F.col("_top")))
+    found = scored.select(*key, label.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     said = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     confirmed = F.lit(False)
     for name, phrases in FAMILIES.items():

@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from sedimill.llm import licenses
 
 
@@ -34,3 +36,33 @@ def test_prefilter_passes_every_template():
         for p in phrases:
             w = p.split()
             assert all(re.search(may, " ".join(w[i : i + 2])) for i in range(len(w) - 1)), p
+
+
+def test_every_template_is_named_and_scored_as_trained(spark):
+    rows = [(f, p) for f, phrases in licenses.FAMILIES.items() for p in phrases]
+    docs = spark.createDataFrame([(i, p) for i, (_, p) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_findings(docs).collect()}
+    names, place, w, temperature, _ = licenses.trained()
+    z = licenses._matrix([p for _, p in rows], place) @ w / temperature
+    q = np.exp(z - z.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    for i, (family, p) in enumerate(rows):
+        assert (got[i]["family"], got[i]["confirmed"]) == (family, True), p
+        assert abs(got[i]["probability"] - q[i].max()) < 1e-4 and names[q[i].argmax()] == family, p
+
+
+def test_stray_words_of_templates_are_unknown(spark):
+    texts = ["Der Mann kommt mit der Frau.", "Written by and for the people.", "The bank reserved the rights to the house.", "Copying was fine for any person."]
+    assert found(spark, texts) == []
+
+
+def test_paragraphs_kept_out_of_the_training():
+    names, place, w, temperature, least = licenses.trained()
+    texts, y = licenses._training(np.random.default_rng(99))
+    z = licenses._matrix(texts, place) @ w / temperature
+    q = np.exp(z - z.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    said = np.where(q.max(1) >= least, q.argmax(1), len(names) - 1)
+    family = y < len(names) - 1
+    assert (said[family] == y[family]).mean() > 0.9
+    assert (said[~family] == len(names) - 1).mean() > 0.98
