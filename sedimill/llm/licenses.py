@@ -1,11 +1,12 @@
 """Licence scan with a trained paragraph classifier, in DataFrame functions only.
 
 Each line is a paragraph, and so is each line in which a template can start (it holds a
-telling word or a pair of words of it, or ends with a plain first word) with the words that
-follow it up to the next blank line, as many as the longest template has, so that a notice
-wrapped over lines is read as one. Those that share a telling word or a pair of words with
-any template are turned into word 1- to 3-grams; what shares nothing with a template
-is unknown, and an n-gram that the training never saw weighs nothing. A wrapped notice is given at the line it starts in, once, and only if no single
+telling word or pair, or ends with the words of a template before its first one) with the
+words that follow it up to the next blank line, as many as the longest template has, so
+that a notice wrapped over lines is read as one. Paragraphs become word 1- to 3-grams; an
+n-gram that the training never saw weighs nothing, and one without a telling word or pair
+of a template never weighs in favour of a family. So what holds neither is unknown for
+certain, and only the others are scored. A wrapped notice is given at the line it starts in, once, and only if no single
 line of it is confirmed as the same family. Then a multinomial logistic regression gives each licence family and
 the class "unknown" a probability. The weights are trained on the driver from phrases
 written out from the families' templates and from other sentences (a few thousand
@@ -52,7 +53,7 @@ FAMILIES = {
 UNKNOWN = "unknown"
 ODD = "\x00"
 #: Share of wrong families among those given to paragraphs kept out of the training; the least probability follows from it.
-WRONG = 0.005
+WRONG = 0.01
 _LEADS = [
     "", "licensed under the", "released under the", "this work is licensed under the", "distributed under the terms of the", "this file is licensed under the", "available under the",
     "this project is licensed under the", "code is covered by the", "published under a", "see the license file for details", "copyright 2019 the authors", "license", "this software is released under",
@@ -72,39 +73,43 @@ _TEMPLATES = [p.split() for phrases in FAMILIES.values() for p in phrases]
 REACH = max(map(len, _TEMPLATES)) - 1
 
 
-def _one_of(words: list[str]) -> str:
-    return "|".join(w.replace(".", "[.]") for w in sorted(words))
+#: Short names that count as a notice only after a lead such as "released under"; no template, so they stay unconfirmed.
+SHORT = {
+    "MIT": ["mit"], "Apache-2.0": ["apache 2.0"], "GPL": ["gpl", "gpl 3.0"], "LGPL": ["lgpl", "lgpl 2.1"], "AGPL": ["agpl", "agpl 3.0"], "BSD": ["bsd", "bsd 3 clause"],
+    "MPL": ["mpl"], "CC-BY": ["cc by"], "CC-BY-SA": ["cc by sa"], "CC-BY-NC": ["cc by nc"], "CC0": ["cc0"], "ISC": ["isc"], "Proprietary": ["proprietary"],
+}
+
+#: Telling words that are also words or syllables of other languages; they say something only beside their neighbours in a template or after a lead.
+_SHARED = frozenset("mit isc cc nc nd sa".split())
+_TELLING = {w for t in _TEMPLATES for w in t} - _PLAIN - _SHARED
+_PAIRS = {p for t in _TEMPLATES for p in zip(t, t[1:], strict=False) if _SHARED & set(p)}
+_PAIRS |= {(lead.split()[-1], short.split()[0]) for lead in _LEADS if lead for shorts in SHORT.values() for short in shorts if short.split()[0] in _SHARED}
+
+
+def telling(words: list[str]) -> bool:
+    """Whether a run of words holds a telling word or pair. Without one, no weight of the model is in favour of a family."""
+    return not _TELLING.isdisjoint(words) or not _PAIRS.isdisjoint(zip(words, words[1:], strict=False))
+
+
+def _run(words: tuple[str, ...] | list[str]) -> str:
+    return r"[^\p{L}\p{N}]+".join(w.replace(".", "[.]") for w in words)
 
 
 def _prefilter() -> str:
-    """A pattern that finds every n-gram of a template, but for single plain words."""
-    words = {w for t in _TEMPLATES for w in t} - _PLAIN
-    pairs: dict[str, set] = {}
-    for t in _TEMPLATES:
-        for a, b in zip(t, t[1:], strict=False):
-            if a in _PLAIN and b in _PLAIN:
-                pairs.setdefault(a, set()).add(b)
-    two = "|".join(f"{_one_of([a])}[^\\p{{L}}\\p{{N}}]+(?:{_one_of(bs)})" for a, bs in sorted(pairs.items()))
-    return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_one_of(words)}|{two})(?![\p{{L}}\p{{N}}])"
+    """A pattern that finds every paragraph with a telling word or pair."""
+    return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(_run, sorted([*((w,) for w in _TELLING), *_PAIRS])))})(?![\p{{L}}\p{{N}}])"
 
 
 def _starting() -> str:
-    """A pattern that finds every line in which a template starts: it holds two words of the template or a telling one, or ends with a plain first word."""
-    first = {t[0] for t in _TEMPLATES} & _PLAIN
-    return rf"{_prefilter()}|(?<![\p{{L}}\p{{N}}])(?:{_one_of(first)})[^\p{{L}}\p{{N}}]*$"
+    """A pattern that finds every line in which a template starts: it holds a telling word or pair, or ends with the words of a template before its first one."""
+    before = {tuple(t[:n]) for t in _TEMPLATES for n in range(1, len(t)) if not telling(t[:n])}
+    return rf"{_prefilter()}|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(_run, sorted(before)))})[^\p{{L}}\p{{N}}]*$"
 
 
 def grams_of(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
 
-#: Short names that count as a notice only after a lead such as "released under"; no template, so they stay unconfirmed.
-SHORT = {
-    "MIT": ["mit"], "Apache-2.0": ["apache 2.0"], "GPL": ["gpl", "gpl 3.0"], "LGPL": ["lgpl", "lgpl 2.1"], "AGPL": ["agpl", "agpl 3.0"], "BSD": ["bsd", "bsd 3 clause"],
-    "MPL": ["mpl"], "CC-BY": ["cc by"], "CC-BY-SA": ["cc by sa"], "CC-BY-NC": ["cc by nc"], "CC0": ["cc0"], "ISC": ["isc"], "Proprietary": ["proprietary"],
-}
-
-
 def _training(rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
     """Labelled paragraphs: notices of each family between other words, and paragraphs of the class unknown, some of which hold stray words of templates."""
     filler = " ".join(_OTHERS).split()
@@ -159,13 +164,17 @@ def trained(seed: int = 5, rounds: int = 1000) -> tuple[list[str], dict[str, int
     w = np.zeros((x.shape[1], len(names)), np.float32)
     xt, yt = x[~held], np.eye(len(names), dtype=np.float32)[y[~held]]
     step = np.zeros_like(w)
+    # n-grams that tell nothing, and the bias, may not favour a family: what the prefilter passes over is unknown for certain
+    silent = np.array([not telling(g.split()) for g in place] + [True])
     for _ in range(rounds):
         z = xt @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         step = 0.9 * step + xt.T @ (p - yt) / len(xt) + 1e-5 * w
         w -= 6.0 * step
+        w[silent, :-1] = np.minimum(w[silent, :-1], w[silent, -1:])
     w[:-1][np.abs(w[:-1]) < 0.05] = 0  # sparse weights
+    w[silent, :-1] = np.minimum(w[silent, :-1], w[silent, -1:])
     z, truth = x[held] @ w, y[held]
     best = (np.inf, 1.0)
     for t in np.geomspace(0.3, 4, 24):
