@@ -81,11 +81,13 @@ def refined_words(c: Column, lower: bool = True) -> Column:
 
 def augmented(ws: Column, sizes: list[int], joiner: str) -> Column:
     """Words and their groups of the given sizes."""
-    parts = [ws]
-    for n in sizes:
+
+    def groups(n: int) -> Column:
+        """The lambda has one parameter: a second one, even with a default, would get the index."""
         at = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(ws, i, n), joiner)))
-    return F.flatten(F.array(*parts))
+        return F.transform(at, lambda i: F.array_join(F.slice(ws, i, n), joiner))
+
+    return F.flatten(F.array(ws, *map(groups, sizes)))
 
 
 def lines(c: Column) -> Column:

@@ -164,3 +164,13 @@ def test_repeated_share_matches_definition(spark):
     df = spark.createDataFrame([(["a", "b", "a", "c", "a"],), ([],)], "g array<string>")
     got = [r[0] for r in df.select(T.repeated_share(F.col("g"), False)).collect()]
     assert math.isclose(got[0], 0.6) and got[1] == 0
+
+
+def test_augmented_words_are_whole_groups(spark):
+    from pyspark.sql import functions as F
+
+    from sedimill.functions.text import augmented
+
+    words = spark.createDataFrame([(["a", "b", "c", "d"],), (["a"],), ([],)], "w array<string>")
+    got = [r[0] for r in words.select(augmented(F.col("w"), [2, 3], "_")).collect()]
+    assert got == [["a", "b", "c", "d", "a_b", "b_c", "c_d", "a_b_c", "b_c_d"], ["a"], []]
