@@ -39,7 +39,8 @@ class WordIds:
     """Token ids of whole texts. White space never joins words in this tokenizer, so words are looked up one by one, as they are written.
 
     It splits letters and digits from punctuation after normalising, which changes neither an ASCII letter or digit
-    with a mark after it nor the mark, so such a word and the mark are looked up apart.
+    with a mark after it nor the mark, so such a word and the mark are looked up apart. A word of ASCII letters and digits alone has
+    the ids of its lower case; any other word, such as an added token, is looked up as it is written.
     """
 
     def __init__(self, path: str):
@@ -49,19 +50,27 @@ class WordIds:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def _learn(self, new: list[bytes]) -> None:
-        split, plain = [], dict.fromkeys(new)
+        split, small, plain = [], [], {}
         for w in new:
+            parts = (w,)
             if len(w) > 1 and w[-1] in _MARKS and w[-2] in _PLAIN:
                 split.append(w)
-                del plain[w]
-                for part in (w[:-1], w[-1:]):
-                    if part not in self.known:
-                        plain[part] = None
+                parts = (w[:-1], w[-1:])
+            for part in parts:
+                if part in self.known:
+                    continue
+                low = part.lower() if part.isalnum() else part  # in bytes: ASCII letters and digits only
+                if low != part:
+                    small.append((part, low))
+                if low not in self.known:
+                    plain[low] = None
         todo = list(plain)
         for lo in range(0, len(todo), 4096):
             some = todo[lo : lo + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, low in small:
+            self.known[w] = self.known[low]
         for w in split:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
@@ -76,8 +85,8 @@ class WordIds:
         out = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in split]
         for w in new:
             if len(w) > CACHED:
-                self.known.pop(w, None)
-                self.known.pop(w[:-1], None)
+                for x in (w, w[:-1], w.lower(), w[:-1].lower()):
+                    self.known.pop(x, None)
         return out
 
 
