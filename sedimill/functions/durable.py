@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,9 @@ def released(*frames: DataFrame) -> None:
             spark = df.sparkSession
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has run: Spark deletes them only after the driver has collected its garbage, which a small plan rarely makes it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -33,17 +33,18 @@ member has an id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sedimill.functions.durable import released, written
+from sedimill.functions.durable import released, swept, written
 from sedimill.functions.graph import connected_components
 
 from .textnp import U64, blocks, flat, mix, shingles, tuned
@@ -54,6 +55,8 @@ BAND = 1.4
 VERIFY = 50
 #: Members of the prefixes of a leader's sets that one task holds, at most.
 HELD = 1 << 18
+#: Shares of a leader's members that get the sets' sketches along, at most, and pairs whose texts are picked out by a broadcast, at most.
+SKETCHED, FEW = 16, 100_000
 #: Names that several sets share, at most: of 5e10 sets some 70 do so by chance.
 SHARED = 100_000
 _SEG, _CHECK = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -311,13 +314,23 @@ def _parted(k: int, num: int, den: int):
     return run
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids with one text of each, fetched by a join."""
-    left = texts.select(F.col("set_id").alias("a"), F.col("packed").alias("left"))
+def _with_texts(pairs: DataFrame, texts: DataFrame, of: Callable[[str], Column] | None = None) -> DataFrame:
+    """The pairs (a, b) of set ids with one text of each, fetched by a join; only those whose a fulfils a condition, if one is given."""
+    if of:
+        pairs = pairs.where(of("a"))
+    left = (texts.where(of("set_id")) if of else texts).select(F.col("set_id").alias("a"), F.col("packed").alias("left"))
     right = texts.select(F.col("set_id").alias("b"), F.col("packed").alias("right"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
+def _of(pairs: DataFrame, texts: DataFrame, few: int = FEW) -> DataFrame:
+    """The texts that the pairs need, if these are few; else all, of which the joins pick."""
+    if pairs.limit(few + 1).count() > few:
+        return texts
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    return texts.join(F.broadcast(ids), "set_id", "left_semi")
+
+
 def led(index: DataFrame) -> DataFrame:
     """(a, b): each set of an index of shared keys (key, set_id, crowd) and the leaders of its keys."""
     weight = index.groupBy("set_id").agg(F.sum("crowd").alias("weight"))
@@ -325,15 +338,50 @@ def led(index: DataFrame) -> DataFrame:
     return index.join(weight, "set_id").select(F.col("set_id").alias("a"), best.alias("b")).where("a != b").distinct()
 
 
-def _within(num: int, den: int):
-    """What ``_pairs`` does by joins, for all sets of one leader at once: their prefixes have HELD members at most."""
+def _dealt(batches):
+    """Stars with their leader's shares (null: one) as b, share, a, n, added, gone, member, place, sketch: a row for each share that has members of the prefix. No places: all, in order."""
+    for batch in batches:
+        shares = np.maximum(batch.column(8).fill_null(1).to_numpy(zero_copy_only=False), 1).astype(np.int64)
+        prefix = batch.column(5)
+        size = prefix.value_lengths().to_numpy().astype(np.int64)
+        star = np.repeat(np.arange(len(size)), size)
+        member = prefix.flatten().to_numpy()
+        place = np.arange(len(star)) - np.repeat(np.cumsum(size) - size, size)
+        share = (mix(member.view(np.uint32).astype(U64)) % shares[star].astype(U64)).astype(np.int64)
+        order = np.lexsort((place, share, star))
+        star, share, member, place = star[order], share[order], member[order], place[order]
+        new = np.ones(len(star), bool)
+        new[1:] = (star[1:] != star[:-1]) | (share[1:] != share[:-1])
+        first = np.flatnonzero(new)
+        row, ends = star[first], np.append(first, len(star))
+        some = shares[star] > 1
+        ends_of_some = np.append(0, np.cumsum(some))[ends]
+        lists = (pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int32())) for e, x in ((ends, member), (ends_of_some, place[some])))
+        rows, kept = pa.array(row), pa.array(row, mask=shares[row] > SKETCHED)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1).take(rows), pa.array(share[first], pa.int32()), *(batch.column(i).take(rows) for i in (0, 2, 3, 4)), *lists, batch.column(6).take(kept)],
+            ["b", "share", "a", "n", "added", "gone", "member", "place", "sketch"],
+        )
 
-    def run(table: pa.Table) -> pa.Table:
-        a, n, added, gone, part, outside = (table[c].to_numpy() for c in ("a", "n", "added", "gone", "part", "outside"))
-        prefix = table["prefix"].combine_chunks()
+
+def _within(num: int, den: int):
+    """Pairs of one leader's sets with a member of one share in common; the right side has the sets' components."""
+
+    def run(table: pa.Table, side: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(side) or len(table) < 2:
+            return none
+        a, n, added, gone = (table[c].to_numpy() for c in ("a", "n", "added", "gone"))
+        known = side["a"].to_numpy()
+        order = np.argsort(known)
+        at = order[np.searchsorted(known, a, sorter=order)]
+        part, outside = side["part"].to_numpy()[at], side["outside"].to_numpy()[at]
+        prefix, places = table["member"].combine_chunks(), table["place"].combine_chunks()
         size = prefix.value_lengths().to_numpy().astype(np.int64)
         fan = np.repeat(np.arange(len(a)), size)
-        place = np.arange(len(fan)) - np.repeat(np.cumsum(size) - size, size)
+        place = places.flatten().to_numpy().astype(np.int64)  # a leader's sets all have them or none has
+        if not len(place):
+            place = np.arange(len(fan)) - np.repeat(np.cumsum(size) - size, size)
         member = prefix.flatten().to_numpy()
         order = np.argsort(member, kind="stable")
         member, fan, place = member[order], fan[order], place[order]
@@ -355,7 +403,7 @@ def _within(num: int, den: int):
                 found = [np.unique(np.concatenate(found))]
             step += 1
         pairs = np.unique(np.concatenate(found))
-        if len(pairs):  # most of the pairs that are no links show in their sketches
+        if len(pairs) and not table["sketch"].null_count:  # most of the pairs that are no links show in their sketches
             marks, close = _folded(table["sketch"].to_pylist()), []
             for lo in range(0, len(pairs), 2048):
                 x, y = pairs[lo : lo + 2048] // len(a), pairs[lo : lo + 2048] % len(a)
@@ -370,44 +418,21 @@ def _within(num: int, den: int):
 def _pairs(stars: DataFrame, parts: DataFrame, num: int, den: int, held: int = HELD) -> DataFrame:
     """Pairs of sets in different components that may be linked though neither leads the other.
 
-    The sets of a leader whose prefixes have ``held`` members at most meet in one task; those of a larger one are dealt by member.
+    The sets of a leader meet in a task, with all members of their prefixes if these are ``held`` at most; a
+    larger leader's members are dealt to shares of about so many. The prefixes are exchanged once.
     """
     part = parts.select(F.col("node").alias("a"), F.col("component").alias("pa"))
     lead = parts.select(F.col("node").alias("b"), F.col("component").alias("pb"))
     light = stars.select("a", "b", F.size("prefix").alias("members")).join(part, "a", "left").join(lead, "b", "left")
     light = written(light.select("a", "b", "members", F.coalesce("pa", "a").alias("part"), (F.coalesce("pa", "a") != F.coalesce("pb", "b")).alias("outside")), "fans")
     open_ = light.groupBy("b").agg(F.sum("members").alias("total"), F.max("outside").alias("out"), F.min("part").alias("low"), F.max("part").alias("high")).where("out AND low != high")
-    chosen = light.join(open_.select("b", (F.col("total") <= held).alias("small")), "b").select("a", "b", "part", "outside", "small")
-    rows = stars.drop("near").join(chosen, ["a", "b"])
-    small = rows.where("small").select("b", "a", "n", "added", "gone", "part", "outside", "prefix", "sketch").groupBy("b").applyInArrow(_within(num, den), "a long, b long")
-    if open_.where(F.col("total") > held).isEmpty():
-        return small.distinct()
-    dealt = (
-        rows.where("not small").select("a", "n", "added", "gone", "part", "outside", "b", F.posexplode("prefix").alias("place", "member"))
-        .withColumn("key", F.xxhash64("b", "member")).drop("b", "member")
-    )
-    of = Window.partitionBy("key")
-    dealt = written(
-        dealt.withColumn("_out", F.max("outside").over(of)).withColumn("_low", F.min("part").over(of)).withColumn("_high", F.max("part").over(of))
-        .where("_out AND _low != _high").drop("_out", "_low", "_high"),
-        "prefixes",
-    )
-    x = dealt.where("outside").select("key", *(F.col(c).alias(f"{c}_x") for c in ("a", "n", "added", "gone", "part", "place")))
-    y = dealt.select("key", *(F.col(c).alias(f"{c}_y") for c in ("a", "n", "added", "gone", "part", "place", "outside")))
-    col = F.col
-    total = col("added_x") + col("gone_x") + col("added_y") + col("gone_y")
-    most = F.floor((col("n_x") + col("n_y")) * F.lit(den - num) / F.lit(den + num))
-    # members of D in common at most, if this one is the first of them
-    room = F.when(
-        col("place_x") < col("added_x"),
-        F.least(col("added_x") - col("place_x"), col("added_y") - col("place_y")) + F.least("gone_x", "gone_y"),
-    ).otherwise(F.least(col("added_x") + col("gone_x") - col("place_x"), col("added_y") + col("gone_y") - col("place_y")))
-    can = (
-        (col("part_x") != col("part_y")) & (~col("outside_y") | (col("a_x") < col("a_y")))
-        & (2 * room >= total - most) & (F.greatest("n_x", "n_y") * num <= F.least("n_x", "n_y") * den)
-    )
-    large = x.join(y, (x["key"] == y["key"]) & can).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b"))
-    return small.union(large).distinct()
+    open_ = written(open_.select("b", F.ceil(F.col("total") / F.lit(held)).cast("int").alias("shares")), "leaders")
+    swept(stars.sparkSession)
+    large = F.broadcast(open_.where("shares > 1"))  # a row for each ``held`` members at most
+    kind = "b long, share int, a long, n int, added int, gone int, member array<int>, place array<int>, sketch binary"
+    dealt = stars.join(large, "b", "left").select("a", "b", "n", "added", "gone", "prefix", "sketch", "near", "shares").mapInArrow(_dealt, kind)
+    sides = light.join(open_, "b").select("b", F.explode(F.sequence(F.lit(0), F.greatest("shares", F.lit(1)) - 1)).alias("share"), "a", "part", "outside")
+    return dealt.groupBy("b", "share").cogroup(sides.groupBy("b", "share")).applyInArrow(_within(num, den), "a long, b long").distinct()
 
 
 def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text", near: float = 1.0, apart: frozenset = frozenset(), bits: int = 64, held: int = HELD) -> DataFrame:
@@ -419,16 +444,29 @@ def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text",
         .where("least != most").select("key", "set_id", "crowd"),
         "index",
     )
+    swept(docs.sparkSession)
     # only sets with a candidate are fetched; of several copies of a set, one text
     wanted = index.select("set_id").distinct()
     texts = written(packed_texts(docs, k, text, apart, bits).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
-    stars = _with_texts(led(index), texts).mapInArrow(_parted(k, num, den), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>, sketch binary")
-    stars = written(stars, "stars")
+    pairs = written(led(index), "led")
     released(index)
-    parts = written(connected_components(stars.where("near").select("a", "b"), "a", "b"), "parts")
-    more = _with_texts(_pairs(stars, parts, num, den, held), texts).mapInArrow(_linked(k, num, den), "a long, b long")
-    more = written(more, "links")
-    released(stars, texts)
+    # about as many pairs as there are texts at a time, however many leaders a set has
+    rounds = max(1, round(pairs.count() / max(1, texts.count())))
+    stars = []
+    for i in range(rounds):
+        swept(docs.sparkSession)
+        some = _with_texts(pairs, texts, lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == i)  # noqa: B023
+        stars.append(written(some.mapInArrow(_parted(k, num, den), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>, sketch binary"), "stars"))
+    released(pairs)
+    every = reduce(DataFrame.union, stars)
+    swept(docs.sparkSession)
+    parts = written(connected_components(every.where("near").select("a", "b"), "a", "b"), "parts")
+    more = written(_pairs(every, parts, num, den, held), "pairs")
+    released(*stars)
+    swept(docs.sparkSession)
+    more = written(_with_texts(more, _of(more, texts)).mapInArrow(_linked(k, num, den), "a long, b long"), "links")
+    released(texts)
+    swept(docs.sparkSession)
     if more.isEmpty():
         return parts
     return written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "parts")
