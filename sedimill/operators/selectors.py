@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sedimill.functions.durable import written
 
 from .filters import field_type
 from .registry import Context, register
@@ -73,30 +75,75 @@ def ranked_range(df: DataFrame, ctx: Context, field_key: str = "", lower_percent
 def nearest(df: DataFrame, ctx: Context, auth_token: str = "", model_url: str = "", model_name: str = "", dimensions: int = 1024, embedding_col: str = "embedding", k: int = 5, block: int = 512) -> DataFrame:
     """nn_indices and nn_scores: the k rows with the largest inner product with a row's embedding, itself left out.
 
-    The rows are packed into blocks; each pair of blocks is one matrix product, and only its k best for each row go on.
+    Every pair is scored: rows are packed into piles, and each pair of piles is met by matrix products, in which only
+    scores that reach a row's k-th best so far are looked at. Those are computed again in the order of the components,
+    so that equal vectors tie. Piles are sent as bytes to the tasks that need them and never copied for each pair.
     """
-    import numpy as np
+    spark = df.sparkSession
     ids = df.select(F.col(ctx.id_col).alias("id"), F.col(embedding_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    rows = ids.count()
-    groups = max(1, -(-rows // block))
-    keyed = ids.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    packed = keyed.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))  # about ``block`` rows each
-    pairs = packed.select(F.col("g").alias("a"), F.col("rows").alias("left")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = pairs.join(packed.select(F.col("g").alias("b"), F.col("rows").alias("right")), "b")
+    rows, wide = ids.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    piles = max(1, -(-rows // (block * min(8, max(1, 512 // max(1, wide or 1))))))
+    keyed = ids.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(piles)).cast("int"))  # equal ids are in one pile
+
+    def pack(table: pa.Table) -> pa.Table:
+        v = table["v"].combine_chunks()
+        if len(set(v.value_lengths().to_pylist())) > 1:
+            raise ValueError("embeddings differ in length")
+        data = v.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        return pa.table({"g": table["g"].slice(0, 1), "ids": pa.array([table["id"].to_pylist()], pa.list_(pa.int64())), "data": pa.array([data.tobytes()], pa.binary())})
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    packed = written(keyed.groupBy("g").applyInArrow(pack, "g int, ids array<long>, data binary"), "piles")
+    left = packed.select(F.col("g").alias("a"), F.col("ids").alias("ids_a"), F.col("data").alias("data_a")).repartition(2 * piles, "a")
+    right = packed.select(F.col("g").alias("b"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b")).repartition(-(-piles // 16), "b")
 
     def product(batches):
-        for frame in batches:
-            for left, right in zip(frame["left"], frame["right"], strict=True):
-                x, y = (np.array([list(r["v"]) for r in side]) for side in (left, right))
-                xi, yi = (np.array([r["id"] for r in side]) for side in (left, right))
-                s = x @ y.T
-                s[xi[:, None] == yi[None, :]] = -np.inf
-                for i, row in zip(xi, s, strict=True):
-                    top = np.lexsort((yi, -row))[:k]
-                    top = top[np.isfinite(row[top])]
-                    yield pd.DataFrame({"id": i, "nn": yi[top], "score": row[top]})
-
-    found = pairs.select("left", "right").mapInPandas(product, "id long, nn long, score double")
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "nn")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "nn", "score"))).alias("n"))
+        best: dict = {}  # of a pile: ids, and the row, score and id of the best so far, in order
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
+                (xi, x), (yi, y) = (_pile(batch.column(f"ids_{c}")[i], batch.column(f"data_{c}")[i]) for c in "ab")
+                at, score, nn = best[a][1:] if a in best else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+                found = [_reaching(lo, x[lo : lo + block], y, xi[lo : lo + block], yi if a == b else None, at, score, k) for lo in range(0, len(x), block)]
+                row, col = (np.concatenate(c) for c in zip(*found, strict=True))
+                exact = np.zeros(len(row))
+                with np.errstate(all="ignore"):
+                    for j in range(x.shape[1]):
+                        exact += x[row, j] * y[col, j]
+                ok = np.isfinite(exact)
+                at, score, nn = (np.concatenate(c) for c in ((at, row[ok]), (score, exact[ok]), (nn, yi[col[ok]])))
+                order = np.lexsort((nn, -score, at))
+                at, score, nn = at[order], score[order], nn[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                best[a] = xi, at[keep], score[keep], nn[keep]
+        for xi, at, score, nn in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(xi[at]), pa.array(nn), pa.array(score)], ["id", "nn", "score"])
+
+    found = left.crossJoin(right).mapInArrow(product, "id long, nn long, score double")
+    order = F.sort_array(F.collect_list(F.struct((F.lit(0.0) - F.col("score")).alias("far"), "nn", "score")))
+    found = found.groupBy("id").agg(F.slice(order, 1, k).alias("n"))
     return df.join(found.select(F.col("id").alias(ctx.id_col), F.col("n.nn").alias("nn_indices"), F.col("n.score").alias("nn_scores")), ctx.id_col, "left")
+
+
+def _pile(ids: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = ids.values.to_numpy()
+    return own, (v := np.frombuffer(data.as_buffer(), "<f8")).reshape(len(own), len(v) // len(own))
+
+
+def _reaching(first: int, x: np.ndarray, y: np.ndarray, xi: np.ndarray, yi: np.ndarray | None, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (from ``first``) and columns whose product reaches the row's k-th best, to within rounding, but a row's own id."""
+    with np.errstate(all="ignore"):
+        s = x @ y.T
+        if not np.isfinite(s.sum()):
+            s[~np.isfinite(s)] = -np.inf
+        slack = 4 * (x.shape[1] + 1) * np.finfo(float).eps * np.abs(x).max(1, initial=0) * np.nanmax(np.abs(y).sum(1), initial=0)
+    if yi is not None:
+        s[xi[:, None] == yi[None, :]] = -np.inf
+    least = np.full(len(x), -np.inf)
+    lo, hi = (np.searchsorted(at, first + np.arange(len(x)), side) for side in ("left", "right"))
+    full = hi - lo >= k
+    least[full] = score[hi[full] - 1]
+    if len(y) > k and not full.all():
+        least = np.maximum(least, np.partition(s, len(y) - k, axis=1)[:, len(y) - k])
+    row, col = np.nonzero((s >= (least - np.nan_to_num(slack))[:, None]) & (s > -np.inf))
+    return first + row, col
