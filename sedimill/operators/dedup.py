@@ -9,6 +9,7 @@ import string
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,9 @@ def ray_document(df: DataFrame, ctx: Context, redis_host: str = "localhost", red
 
 
 def _without_followers(df: DataFrame, ctx: Context, edges: DataFrame) -> DataFrame:
-    """Rows but those whose component has a smaller id."""
+    """Rows but those whose component has a smaller id. The join is hinted, as small files of many ids would be broadcast through the driver."""
     parts = connected_components(edges, "a", "b").where("node != component").select(F.col("node").alias(ctx.id_col))
-    return df.join(parts, ctx.id_col, "left_anti")
+    return df.join(parts.hint("merge"), ctx.id_col, "left_anti")
 
 
 def tokens_of(text: str, tokenization: str, lowercase: bool, ignore_pattern: str | None, tokenizer=None) -> list[str]:
@@ -131,9 +132,62 @@ def _simhash(tokens: set[str]) -> int:
     return int((set_.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
+#: Hashes of a share, about, that meet in one task, and how many with equal blocks are compared without cutting the rest of their bits again.
+HASHES, RUN = 50_000, 2_000
+
+
+def _cut(bits: np.ndarray, blocks: int, distance: int) -> list[np.uint64]:
+    """Masks of which one at least covers no differing bit, if ``distance`` of these bits differ at most."""
+    blocks = max(blocks, distance + 1)
+    cuts = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
+    masks = [int(sum(1 << int(x) for x in bits[cuts[i] : cuts[i + 1]])) for i in range(blocks)]
+    return [np.uint64(sum(c)) for c in itertools.combinations(masks, blocks - distance)]
+
+
+def near_hashes(h: np.ndarray, masks: list[np.uint64], bits: np.ndarray, blocks: int, distance: int, label: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """For each of distinct hashes the least index in a chain of hashes that are equal under one of the masks and differ in at most ``distance`` bits.
+
+    Pairs that a chain joins already aren't kept, so that no more than a link for each hash is left. Many hashes
+    that are equal under a mask are told apart by the other bits in the same way, exactly.
+    """
+    label = np.arange(len(h)) if label is None else label
+    own = np.arange(len(h)) if own is None else own
+    for mask in masks:
+        value = h[own] & mask
+        order = np.argsort(value, kind="stable")
+        value, place = value[order], own[order]
+        new = np.append(True, value[1:] != value[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(value)))
+        rest = bits[((mask >> bits.astype(np.uint64)) & np.uint64(1)) == 0]
+        deeper = (size > RUN) & (len(rest) >= 4 * (distance + 1))
+        for lo, n in zip(first[deeper], size[deeper], strict=True):
+            near_hashes(h, _cut(rest, blocks, distance), rest, blocks, distance, label, place[lo : lo + n])
+        run = np.cumsum(new) - 1
+        at, step = np.flatnonzero(~np.repeat(deeper, size)), 1
+        while len(at):
+            at = at[at + step < len(value)]
+            at = at[run[at + step] == run[at]]
+            x, y = place[at], place[at + step]
+            near = np.bitwise_count(h[x] ^ h[y]) <= distance
+            x, y = x[near], y[near]
+            while len(x):  # joins the chains of x and y
+                a, b = label[x], label[y]
+                open_ = a != b
+                x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label[:] = label[label]
+            step += 1
+    return label
+
+
 @register("document_simhash_deduplicator", "deduplicator", tier="R")
 def simhash(df: DataFrame, ctx: Context, tokenization: str = "space", window_size: int = 6, lowercase: bool = True, ignore_pattern: str | None = None, num_blocks: int = 6, hamming_distance: int = 4, compat: bool = False) -> DataFrame:
-    """Near copies by 64-bit SimHash: hashes that differ in at most ``hamming_distance`` bits share blocks."""
+    """Near copies by 64-bit SimHash: hashes that differ in at most ``hamming_distance`` bits share blocks.
+
+    Hashes that may share blocks meet in one task, which gives a link for each hash at most and never lists their pairs.
+    """
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
         join = "" if tokenization == "character" else " "
@@ -141,17 +195,24 @@ def simhash(df: DataFrame, ctx: Context, tokenization: str = "space", window_siz
         return pd.Series(np.array(values, np.uint64).view(np.int64))
 
     keyed = written(df.select(F.col(ctx.id_col).alias("id"), hashed(F.col(ctx.text_key)).alias("h")), "simhash")
+    least = written(keyed.groupBy("h").agg(F.min("id").alias("a")), "least").hint("merge")  # it is small as a file only
     cuts = [round(i * 64 / num_blocks) for i in range(num_blocks + 1)]
-    masks = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(num_blocks)]
-    keep = max(1, num_blocks - hamming_distance)
+    blocks = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(num_blocks)]
+    masks = [sum(c) for c in itertools.combinations(blocks, max(1, num_blocks - hamming_distance))]
+    shares = max(1, -(-least.count() // HASHES))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(signed(sum(c)))).alias("v")) for i, c in enumerate(itertools.combinations(masks, keep))))
-    values = keyed.select("h").distinct().select("h", F.explode(keys).alias("key"))
-    other = values.select(F.col("h").alias("g"), "key")
-    near = values.join(other, "key").where((F.col("h") < F.col("g")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= hamming_distance)).select("h", "g").distinct()
-    least = keyed.groupBy("h").agg(F.min("id").alias("a"))
+    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64(F.col("h").bitwiseAND(F.lit(signed(m)))), F.lit(shares)).cast("int").alias("share")) for i, m in enumerate(masks)))
+    dealt = least.select("h", F.explode(keys).alias("key")).select("h", "key.i", "key.share")
+
+    def chains(table: pa.Table) -> pa.Table:
+        h = np.sort(table["h"].to_numpy().view(np.uint64))
+        label = near_hashes(h, [np.uint64(masks[table["i"][0].as_py()])], np.arange(64), num_blocks, hamming_distance)
+        joined = label != np.arange(len(h))
+        return pa.table({"h": h[joined].view(np.int64), "g": h[label[joined]].view(np.int64)})
+
+    near = dealt.groupBy("i", "share").applyInArrow(chains, "h long, g long").distinct()
     same = keyed.join(least, "h").where("id != a").select("a", F.col("id").alias("b"))
-    cross = near.join(least, "h").withColumnRenamed("a", "x").join(least.select(F.col("h").alias("g"), F.col("a").alias("y")), "g").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    cross = near.join(least, "h").withColumnRenamed("a", "x").join(least.select(F.col("h").alias("g"), F.col("a").alias("y")).hint("merge"), "g").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return _without_followers(df, ctx, same.union(cross))
 
 
