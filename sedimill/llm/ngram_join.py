@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 from sedimill.functions.durable import released, swept, written
 from sedimill.functions.graph import connected_components
 
-from .textnp import U64, blocks, flat, mix, shingles, tuned
+from .textnp import U64, blocks, flat, lean, mix, shingles, tuned
 
 #: Each band's largest size over its smallest.
 BAND = 1.4
@@ -185,7 +185,7 @@ def document_sets(docs: DataFrame, k: int, text: str = "text", doc_id: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids), pa.array(checks)], ["doc_id", "n_shingles", "set_id", "check"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, check long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, set_id long, check long")
 
 
 def index_rows(docs: DataFrame, k: int, num: int, den: int, text: str = "text", near: float = 1.0, apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
@@ -209,7 +209,7 @@ def index_rows(docs: DataFrame, k: int, num: int, den: int, text: str = "text",
                 row, key = keys_of(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), num, den, near)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[fresh][row])], ["key", "set_id"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, set_id long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "key long, set_id long")
 
 
 def packed_texts(docs: DataFrame, k: int, text: str = "text", apart: frozenset = frozenset(), bits: int = 64) -> DataFrame:
@@ -230,7 +230,7 @@ def packed_texts(docs: DataFrame, k: int, text: str = "text", apart: frozenset =
                         packed.append(pack.compress(piece[cut[i] : cut[i + 1]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["set_id", "packed"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "set_id long, packed binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "set_id long, packed binary")
 
 
 def _opened(batches, k: int):
@@ -430,7 +430,7 @@ def _pairs(stars: DataFrame, parts: DataFrame, num: int, den: int, held: int = H
     swept(stars.sparkSession)
     large = F.broadcast(open_.where("shares > 1"))  # a row for each ``held`` members at most
     kind = "b long, share int, a long, n int, added int, gone int, member array<int>, place array<int>, sketch binary"
-    dealt = stars.join(large, "b", "left").select("a", "b", "n", "added", "gone", "prefix", "sketch", "near", "shares").mapInArrow(_dealt, kind)
+    dealt = stars.join(large, "b", "left").select("a", "b", "n", "added", "gone", "prefix", "sketch", "near", "shares").mapInArrow(lean(_dealt), kind)
     sides = light.join(open_, "b").select("b", F.explode(F.sequence(F.lit(0), F.greatest("shares", F.lit(1)) - 1)).alias("share"), "a", "part", "outside")
     return dealt.groupBy("b", "share").cogroup(sides.groupBy("b", "share")).applyInArrow(_within(num, den), "a long, b long").distinct()
 
@@ -456,7 +456,7 @@ def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text",
     for i in range(rounds):
         swept(docs.sparkSession)
         some = _with_texts(pairs, texts, lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == i)  # noqa: B023
-        stars.append(written(some.mapInArrow(_parted(k, num, den), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>, sketch binary"), "stars"))
+        stars.append(written(some.mapInArrow(lean(_parted(k, num, den)), "a long, b long, near boolean, n int, added int, gone int, prefix array<int>, sketch binary"), "stars"))
     released(pairs)
     every = reduce(DataFrame.union, stars)
     swept(docs.sparkSession)
@@ -464,7 +464,7 @@ def linked_sets(docs: DataFrame, k: int, num: int, den: int, text: str = "text",
     more = written(_pairs(every, parts, num, den, held), "pairs")
     released(*stars)
     swept(docs.sparkSession)
-    more = written(_with_texts(more, _of(more, texts)).mapInArrow(_linked(k, num, den), "a long, b long"), "links")
+    more = written(_with_texts(more, _of(more, texts)).mapInArrow(lean(_linked(k, num, den)), "a long, b long"), "links")
     released(texts)
     swept(docs.sparkSession)
     if more.isEmpty():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import BYTE_CODES, U64, blocks, flat, mix, tuned, word_codes, words
+from .textnp import BYTE_CODES, U64, blocks, flat, lean, mix, tuned, word_codes, words
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
@@ -178,7 +178,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     ids = spark.createDataFrame(picked[[doc_id]].drop_duplicates(), f"{doc_id} {kind}")
     # at most ``sample`` ids; of rows that repeat an id, the one with the least text
     rows = docs.select(doc_id, text).join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(text).alias(text))
-    found = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_features, f"doc_id {kind}, x array<float>").toPandas()
+    found = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_features), f"doc_id {kind}, x array<float>").toPandas()
     found = found.merge(picked.rename(columns={doc_id: "doc_id"}), on="doc_id")
     if not len(found):
         return boosted(np.zeros((0, N_FEATURES)), np.zeros(0))
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, trees: Trees, threshold: float = 0.7, text: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*(f"c{i}" for i in range(len(names))), "score", "predicted"])
 
     schema = ", ".join([*(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)), "score double, predicted int"])
-    out = docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+    out = docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lean(run), schema)
     return out.toDF(*names, score, predicted)
 
 
