@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from sedimill.functions.durable import written
 
 from .ranking import ranked
-from .textnp import flat, lean, tuned
+from .textnp import REMEMBERED, flat, lean, tuned
 
 WINDOW = 4096
 END = 2
-#: Distinct words whose ids a worker remembers (it keeps them as long as it lives), and the longest of them in bytes.
-CACHE, CACHED = 500_000, 64
+#: Distinct words whose ids a worker remembers, and the longest of them in bytes.
+CACHE, CACHED = 1_000_000, 64
 _MARKS = frozenset(b".,;:!?")
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
@@ -47,7 +47,7 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.again = Tokenizer.from_file(path), {}, set()
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def _learn(self, new: list[bytes]) -> None:
         split, small, plain = [], [], {}
@@ -76,13 +76,10 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        here = {w for ws in split for w in ws}
-        new = here.difference(self.known)
-        self.again |= here.difference(new)
-        if len(self.known) + len(new) > CACHE:  # most words of a corpus come once: those that came again stay, if there is room for as many more
-            self.known = {w: self.known[w] for w in self.again if w in self.known} if 2 * len(self.again) <= CACHE else {}
-            self.again = set()
-            new = here.difference(self.known)
+        new = {w for ws in split for w in ws}.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = {w for ws in split for w in ws}
         self._learn(sorted(new))
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in split]
@@ -94,6 +91,7 @@ class WordIds:
 
 
 _tokenizers: dict[str, WordIds] = {}
+REMEMBERED.append(_tokenizers.clear)
 
 
 def word_ids(path: str) -> WordIds:
@@ -124,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int
             yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run, forget=False), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def slack_patterns(stock: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[tuple[int, int]]]]:

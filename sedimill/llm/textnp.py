@@ -22,6 +22,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at once; one longer document is handled alone.
 BLOCK = 1_000_000
+#: What empties the tables that a step's tasks leave in their worker for its later tasks.
+REMEMBERED: list[Callable[[], None]] = []
 
 
 def tuned(spark) -> None:
@@ -92,10 +94,13 @@ def spare() -> None:
         trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """``run``, for mapInArrow, with what it no longer needs given back at the task's end: workers live on beside the tasks of other steps."""
+def lean(run: Callable, forget: bool = True) -> Callable:
+    """``run``, for mapInArrow, with what it no longer needs given back at the task's end, as workers live on beside the tasks of other steps; ``forget``: what other steps remember goes before it."""
 
     def whole(batches):
+        if forget:
+            for empty in REMEMBERED:
+                empty()
         try:
             yield from run(batches)
         finally:

@@ -3,41 +3,30 @@
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
 from sedimill.llm import packing, textnp
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+BATCH = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
 
 
-def test_a_full_cache_keeps_the_words_that_come_again(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 100)
-    few, many = packing.WordIds(PATH), packing.WordIds(PATH)
-    texts = [b"the data of the day " + b" ".join(b"w%dx" % (30 * i + j) for j in range(30)) for i in range(12)]
-    learned = []
-    monkeypatch.setattr(few, "_learn", lambda new, f=few._learn: (learned.extend(new), f(new)))
-    for t in texts:
-        got = few([t])[0].tolist()
-        assert len(few.known) <= 100 and got == many.tokenizer.encode(t.decode(), add_special_tokens=False).ids
-    assert [learned.count(w) for w in (b"the", b"data", b"of", b"day")] == [1, 1, 1, 1]
+def _run(batches):
+    for b in batches:
+        textnp.powers(1000)
+        yield b
 
 
 def test_what_a_task_no_longer_needs_is_given_back():
-    def run(batches):
-        for b in batches:
-            textnp.powers(1000)
-            yield b
-
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
-    out = textnp.lean(run)(iter([batch, batch]))
-    assert next(out).equals(batch) and len(textnp._powers[0]) > 1000
+    out = textnp.lean(_run)(iter([BATCH, BATCH]))
+    assert next(out).equals(BATCH) and 1000 <= len(textnp._powers[0]) <= 1_100_000
     assert len(list(out)) == 1 and [len(p) for p in textnp._powers] == [1, 1]
     assert textnp.powers(3)[0].tolist()[1] == int(np.uint64(0x9E3779B97F4A7C15))  # made anew
 
 
-def test_the_workers_tables_stay_small():
-    """A worker of the pipeline remembered a million words (some 150 MB) and worked on blocks whose tables alone took 32 MB."""
-    textnp.powers(1)
-    textnp.spare()
-    textnp.powers(2)
-    assert sum(p.nbytes for p in textnp._powers) <= 17_000_000 and packing.CACHE <= 500_000
-    textnp.spare()
+@pytest.mark.parametrize("forget", [True, False])
+def test_the_tokenizer_and_its_words_go_before_another_step(forget):
+    before = [x.tolist() for x in packing.word_ids(PATH)([b"the data, of THE day"])]
+    assert len(list(textnp.lean(_run, forget=forget)(iter([BATCH])))) == 1
+    assert (PATH in packing._tokenizers) != forget  # packing's own next task finds them
+    assert [x.tolist() for x in packing.word_ids(PATH)([b"the data, of THE day"])] == before
