@@ -76,12 +76,13 @@ def _parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     odd[1:] |= (data[1:] == ord("|")) & (data[:-1] == ord("<"))  # an added token is found before lower case
     if odd.any():
         first, end, _ = words(data, at)
-        own = np.unique(np.searchsorted(first, np.flatnonzero(odd), "right") - 1)
+        own = np.flatnonzero(np.bitwise_or.reduceat(odd.view(np.uint8), first))
         turn = np.zeros(len(data) + 1, np.int8)
         turn[first[own]] += 1
         turn[end[own]] -= 1
         inside = np.cumsum(turn[:-1], dtype=np.int8).view(bool)
-        kind[inside], low[inside] = _WHOLE, data[inside]
+        np.putmask(kind, inside, _WHOLE)
+        np.copyto(low, data, where=inside)
     text = kind != _SPACE
     new = kind == _DIGIT
     new[0] = True
